@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact, packing, tokens, warc
+from factloom.llm import exact, licences, packing, secrets, tokens, warc
 from factloom.llm.common import table
 
 #: The path of the vocabulary file is a parameter of the operators; these queries use this public one.
@@ -26,13 +26,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_packing, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op3_token_output, op4_packing, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact.ORACLE}
+    return {"op7_licences": licences.oracle(), "op8_exact_dedup": exact.ORACLE}
