@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact, licences, packing, secrets, tokens, warc
+from factloom.llm import exact, licences, near, packing, secrets, tokens, warc
 from factloom.llm.common import table
 
 #: The path of the vocabulary file is a parameter of the operators; these queries use this public one.
@@ -26,6 +26,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_packing, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op3_token_output, op4_packing, op6_minhash, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
