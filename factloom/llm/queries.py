@@ -7,13 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact, licences, near, packing, secrets, tokens, warc
+from factloom.llm import decontaminate, exact, licences, near, packing, secrets, tokens, toxicity, warc
 from factloom.llm.common import table
 
 #: The path of the vocabulary file is a parameter of the operators; these queries use this public one.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 2)
 
@@ -43,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_packing, op6_minhash, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_output, op4_packing, op6_minhash, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
