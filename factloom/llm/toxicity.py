@@ -27,7 +27,7 @@ LEAST, ORDER, DECAY = 3, 5, 0.7
 #: Longer words are read in windows of this length that overlap by half.
 LONGEST = 24
 LANDMARKS = 32
-SHARED = 0.75
+SHARED, REACH = 0.75, 2
 #: The margins of a text's most suspicious words that its score is made of.
 TOPS = 3
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -74,17 +74,19 @@ def _decays(n: int) -> np.ndarray:
 class SubsequenceKernel:
     """Normalised kernel values of words against the landmarks.
 
-    Values of a word that has less than SHARED of a landmark's characters in order, for every landmark, count as 0:
-    a bit-parallel longest common subsequence finds them before the kernel is computed for the rest.
+    A value counts as 0 if the word has less than SHARED of the landmark's characters in order, or over REACH times its length: a
+    bit-parallel longest common subsequence finds these pairs before the kernel is computed for the rest. So do all values of a word
+    for which that holds with each of the first `gates` landmarks.
     """
 
-    def __init__(self, landmarks: list[str]) -> None:
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], gates: int | None = None) -> None:
+        self.landmarks, self.gates = landmarks, len(landmarks) if gates is None else gates
         self.width = max(map(len, landmarks))
+        self.length = np.array([len(w) for w in landmarks])
         self.codes = _codes(landmarks, self.width)
         self.codes[self.codes == 0] = -1
         self.right = _decays(self.width).T.copy()
-        self.norm = np.sqrt(self._self(landmarks))
+        self.norm = np.sqrt([float(self._self(_codes([w], len(w)))[0]) for w in landmarks])
         letters = sorted(set("".join(landmarks)))
         self.letters = np.array([ord(c) for c in letters], dtype=np.int32)
         self.masks = np.array([[0] * len(landmarks)] + [[sum(1 << k for k, x in enumerate(w) if x == c) for w in landmarks] for c in letters], dtype=np.uint32)
@@ -93,21 +95,24 @@ class SubsequenceKernel:
         # A set bit for each of the first 63 of the landmarks' characters; the others share the last.
         self.bit = np.array([0] + [1 << min(k, 63) for k in range(len(letters))], dtype=np.uint64)
         self.owned = np.array([np.bitwise_or.reduce(self.bit[[letters.index(c) + 1 for c in w]]) for w in landmarks])
-        self.need_distinct = np.bitwise_count(self.owned).astype(int) - np.array([len(w) for w in landmarks]) + self.need
+        self.need_distinct = np.bitwise_count(self.owned).astype(int) - self.length + self.need
 
-    def likely(self, codes: np.ndarray) -> np.ndarray:
-        """Whether each of the words, given as codes, shares enough with a landmark: first of its distinct characters, then in order."""
+    def likely(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, landmark) of the pairs that share enough: first of the landmark's distinct characters, then in order."""
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         at = np.where(self.letters[at] == codes, at + 1, 0)
         has = np.bitwise_or.reduce(self.bit[at], axis=1)
-        out = (np.bitwise_count(has[:, None] & self.owned) >= self.need_distinct).any(axis=1)
-        at = at[out]
-        v = np.broadcast_to(self.full, (len(at), len(self.full))).copy()
+        fits = (np.bitwise_count(has[:, None] & self.owned) >= self.need_distinct) & ((codes > 0).sum(axis=1)[:, None] <= REACH * self.length)
+        word, mark = np.nonzero(fits & fits[:, : self.gates].any(axis=1)[:, None])
+        v, full, at = self.full[mark].copy(), self.full[mark], at[word]
         for j in range(codes.shape[1]):
-            u = v & self.masks[at[:, j]]
+            u = v & self.masks[at[:, j], mark]
             v = (v + u) | (v - u)
-        out[out] = (np.bitwise_count(~v & self.full) >= self.need).any(axis=1)
-        return out
+        good = np.bitwise_count(~v & full) >= self.need[mark]
+        word, mark = word[good], mark[good]
+        opened = np.zeros(len(codes), dtype=bool)
+        opened[word[mark < self.gates]] = True
+        return word[opened[word]], mark[opened[word]]
 
     @staticmethod
     def _sum(match: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -120,29 +125,24 @@ class SubsequenceKernel:
                 total += d.sum(axis=(-1, -2)) * np.float32(DECAY ** (-2 * order))
         return total
 
-    def _self(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words), dtype=np.float32)
-        for width, at in by_width(words):
-            c = _codes([words[k] for k in at], width)
-            match = ((c[:, :, None] == c[:, None, :]) & (c[:, :, None] > 0)).astype(np.float32)
-            left = _decays(width)
-            out[at] = self._sum(match, left, left.T)
-        return out
+    def _self(self, codes: np.ndarray) -> np.ndarray:
+        left = _decays(codes.shape[1])
+        return self._sum(((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)).astype(np.float32), left, left.T)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
         for width, at in by_width(words):
             left = _decays(width)
-            for i in range(0, len(at), 2048):
-                part = at[i : i + 2048]
+            for i in range(0, len(at), 4096):
+                part = at[i : i + 4096]
                 c = _codes([words[k] for k in part], width)
-                part, c = part[on := self.likely(c)], c[on]
-                for j in range(0, len(part), 256):
-                    x = c[j : j + 256]
-                    own = ((x[:, :, None] == x[:, None, :]) & (x[:, :, None] > 0)).astype(np.float32)
-                    norm = np.sqrt(self._sum(own, left, left.T))
-                    match = (x[:, None, :, None] == self.codes[None, :, None, :]).astype(np.float32)
-                    out[part[j : j + 256]] = self._sum(match, left, self.right) / np.maximum(norm[:, None] * self.norm[None, :], 1e-9)
+                word, mark = self.likely(c)
+                some, back = np.unique(word, return_inverse=True)
+                norm = np.sqrt(np.concatenate([self._self(c[some[j : j + 512]]) for j in range(0, len(some), 512)] or [np.zeros(0)]))
+                for j in range(0, len(word), 512):
+                    w, m = word[j : j + 512], mark[j : j + 512]
+                    match = (c[w][:, :, None] == self.codes[m][:, None, :]).astype(np.float32)
+                    out[part[w], m] = self._sum(match, left, self.right) / np.maximum(norm[back[j : j + 512]] * self.norm[m], 1e-9)
         return out
 
 
@@ -159,6 +159,7 @@ class Model:
     """Margin of a word: kernel values . weights + bias; score of a text: logistic(its top margins . slopes + offset)."""
 
     landmarks: list[str]
+    gates: int
     weights: np.ndarray
     bias: float
     slopes: np.ndarray
@@ -168,7 +169,7 @@ class Model:
         if not self.landmarks or not words:
             return np.full(len(words), self.bias)
         if not hasattr(self, "_kernel"):
-            self._kernel = SubsequenceKernel(self.landmarks)
+            self._kernel = SubsequenceKernel(self.landmarks, self.gates)
         return self._kernel(words) @ self.weights + self.bias
 
     def learn(self, known: dict[str, float], tokens: set[str]) -> None:
@@ -239,30 +240,39 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
     """A model of texts labelled 1 (toxic) and 0. With no or one kind of label it gives the share of label 1 to every text."""
     y = np.array(labels, dtype=float)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    constant = Model([], np.zeros(0), 0.0, np.zeros(TOPS), float(np.log(share / (1 - share))))
+    constant = Model([], 0, np.zeros(0), 0.0, np.zeros(TOPS), float(np.log(share / (1 - share))))
     sentences = [[s for s in ({w for t in tokens_of(p) for w in windows(t)} for p in SENTENCE_END.split(text)) if s] for text in texts]
     words = [set().union(*s) for s in sentences]
     if not 0 < y.sum() < len(y):
         return constant
     # Letter runs that toxic texts have and clean ones haven't tell which words may be the witnesses at first.
-    bad, good = Counter(), Counter()
-    for w, label in zip(words, labels, strict=True):
-        (bad if label else good).update(set().union(*map(grams, w)) if w else ())
     n1, n0 = y.sum(), len(y) - y.sum()
-    lift = {g: np.log((k + 0.5) / (n1 + 1)) - np.log((good[g] + 0.5) / (n0 + 1)) for g, k in bad.items() if k >= max(2, 0.01 * n1)}
-    value = lambda g: lift.get(g, 0.0) * np.sqrt(bad[g])
-    worth = {w: max(map(value, grams(w)), default=0.0) for i, s in enumerate(words) if labels[i] for w in s}
+    of_word = {w: grams(w) for w in set().union(*(s for s, label in zip(words, labels, strict=True) if label))}
+    bad = Counter()
+    for w, label in zip(words, labels, strict=True):
+        if label and w:
+            bad.update(set().union(*map(of_word.__getitem__, w)))
+    bad = {g: k for g, k in bad.items() if k >= max(2, 0.01 * n1)}
+    of_word = {w: [g for g in grams(w) if g in bad] for w in set().union(*words)}
+    good = Counter()
+    for w, label in zip(words, labels, strict=True):
+        if not label and w:
+            good.update(set().union(*map(of_word.__getitem__, w)))
+    lift = {g: float(np.log((k + 0.5) / (n1 + 1)) - np.log((good[g] + 0.5) / (n0 + 1))) for g, k in bad.items()}
+    worth = {w: max((lift[g] * bad[g] ** 0.5 for g in of_word[w]), default=0.0) for i, s in enumerate(words) if labels[i] for w in s}
+    raised = {w: max((lift[g] for g in gs), default=0.0) for w, gs in of_word.items()}
     leads = Counter()
     for i, s in enumerate(words):
         if labels[i] and s:
             leads[max(s, key=lambda w: (worth[w], w))] += 1
             for w in s:
-                if worth[w] > 0 and max((lift.get(g, 0) for g in grams(w)), default=0) > 2.5:
+                if raised[w] > 2.5:
                     leads[w] += 1
     if not leads:
         return constant
+    often = Counter(w for i, s in enumerate(words) if not labels[i] for w in s)
     # Landmarks: each is the most usual word with the run of letters that most toxic texts have which few landmarks cover yet.
-    telling = [{g for w in s for g in grams(w) if lift.get(g, 0.0) > 2.5} if label else set() for s, label in zip(words, labels, strict=True)]
+    telling = [{g for w in s if raised[w] > 2.5 for g in of_word[w] if lift[g] > 2.5} if label else set() for s, label in zip(words, labels, strict=True)]
     covered, landmarks = np.zeros(len(texts)), []
     while len(landmarks) < LANDMARKS * 3 // 4:
         gain = Counter()
@@ -271,7 +281,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
         best = max(gain, key=lambda g: (gain[g], len(g), g), default=None)
         if best is None or gain[best] < 0.25:
             break
-        word = max((w for w in leads if best in w and w not in landmarks), key=lambda w: (leads[w], -len(w), w), default=None)
+        word = max((w for w in leads if best in w and w not in landmarks and w not in often), key=lambda w: (leads[w], -len(w), w), default=None)
         for k, t in enumerate(telling):
             if best in t:
                 covered[k] += 1
@@ -282,19 +292,19 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
     if not landmarks:
         return constant
     # And the clean words most like those.
-    often = Counter(w for i, s in enumerate(words) if not labels[i] for w in s)
+    gates = len(landmarks)
     plain = sorted(often, key=lambda w: (-often[w], w))[:20000]
     like = SubsequenceKernel(landmarks)(plain).max(axis=1) * np.sqrt([often[w] for w in plain])
     landmarks += [plain[k] for k in np.argsort(-like, kind="stable")[: LANDMARKS // 4] if like[k] > 0 and plain[k] not in landmarks]
-    kernel = SubsequenceKernel(landmarks)
-    gram = kernel(landmarks).astype(float)
+    gram = SubsequenceKernel(landmarks)(landmarks).astype(float)
+    kernel = SubsequenceKernel(landmarks, gates)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     vocabulary = sorted(set().union(*words))
     place = {w: k for k, w in enumerate(vocabulary)}
     features = (kernel(vocabulary) @ root).astype(float)
     held = [[np.array([place[w] for w in s]) for s in text] for text in sentences]
-    margin = np.array([worth.get(w, 0.0) if max((lift.get(g, 0) for g in grams(w)), default=0) > 2.5 else 0.0 for w in vocabulary])
+    margin = np.array([worth.get(w, 0.0) if raised[w] > 2.5 else 0.0 for w in vocabulary])
     weights, bias = np.zeros(features.shape[1]), 0.0
     rng = np.random.default_rng(seed)
     clean_words = np.unique(np.concatenate([s for i, text in enumerate(held) if not labels[i] for s in text] or [np.zeros(0, int)]))
@@ -317,7 +327,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
         seen = np.sqrt([often[vocabulary[k]] for k in negative])
         weights, bias = fit_svm(x, side, np.r_[count / count.sum(), seen / seen.sum()])
         margin = features @ weights + bias
-    model = Model(landmarks, root @ weights, bias, np.zeros(TOPS), 0.0)
+    model = Model(landmarks, gates, root @ weights, bias, np.zeros(TOPS), 0.0)
     of_text = [np.unique(np.concatenate(text)) if text else np.zeros(0, int) for text in held]
     model.slopes, model.offset = fit_logistic(np.array([model.tops(margin[s].tolist()) for s in of_text]), y)
     return model
