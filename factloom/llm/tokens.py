@@ -1,7 +1,7 @@
 """Token ids of whole texts, and their files.
 
 Encoding is the `tokenizers` library's. Text is cut at single spaces between two characters that aren't white
-space. Byte-level BPE never joins what lies on the two sides of such a space, so each piece (with the space before it) is encoded
+space, and a word's last letter parts from the stops behind it. Byte-level BPE never joins what lies on the two sides of such a place, so each piece (with the space before it) is encoded
 once for each worker and looked up after that; the ids are those of encoding the whole text at once.
 
 File format of `write_token_files`: Parquet, ascending doc_id, one row a document, `ids` a list column with
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import id_and_text, shared_dir, shuffle_partitions
 
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-IRREGULAR = re.compile(r"\s\s|^\s|\s\Z")
+STOPS = ".,;:!?"
 #: Documents that are encoded at once: bounds what a Python worker holds.
 SLICE = 200
 
@@ -32,38 +32,81 @@ SLICE = 200
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, `end_id` (if any) last."""
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 700_000) -> None:
+    def __init__(self, path: str, end_id: int | None = None, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.most = most
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.first: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+        self.long: list[tuple[dict[str, bytes], str]] = []
         self.later: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: Iterable[str], before: str) -> None:
-        new = list(set(pieces).difference(known))
-        if new:
-            found = self.library.encode_batch_fast([before + x for x in new], add_special_tokens=False)
-            known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, found, strict=True))
+        new = set(pieces).difference(known)
+        new = {x for x in new if x and not x[0].isspace() and not x[-1].isspace()}
+        self.long += [(known, x) for x in new if len(x) > 40]  # rare ones, and up to as large as a document
+        ends = {}  # word and stops, which are tokens apart
+        for x in new:
+            word = x.rstrip(STOPS)
+            if word and len(word) < len(x) and word[-1].isalpha() and word[-1] < "\u0250":
+                ends[x] = (word, x[len(word) :])
+        wanted = new.difference(ends)
+        wanted.update(w for w, _ in ends.values() if w not in known)
+        self._ask(known, wanted, before)
+        self._ask(self.stops, {s for _, s in ends.values()}.difference(self.stops), "")
+        known.update((x, known[w] + self.stops[s]) for x, (w, s) in ends.items())
+
+    def _ask(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        """Encodes pieces: those without white space in one text with a line each, whose line ends are tokens of their own."""
+        apart = [x for x in pieces if "<|" in x or x.split() != [x]]
+        lines = list(pieces.difference(apart)) if apart else list(pieces)
+        for i in range(0, len(lines), 5000):
+            part = lines[i : i + 5000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([before + x for x in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            at, raw = np.flatnonzero(ids == self.line_end), ids.tobytes()
+            if len(at) != len(part) - 1:  # another vocabulary
+                apart += part
+                continue
+            known.update(zip(part, (raw[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)), strict=True))
+        found = self.library.encode_batch_fast([before + x for x in apart], add_special_tokens=False)
+        known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(apart, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for known in (self.first, self.later):
             if len(known) > self.most:
                 known.clear()
-        cut = [INNER_SPACE.split(t) if IRREGULAR.search(t) else t.split(" ") for t in texts]
+        cut = [t.split(" ") for t in texts]
         heads = [x[0] for x in cut]
         for x in cut:
             del x[0]
         self._learn(self.first, heads, "")
         self._learn(self.later, chain.from_iterable(cut), " ")
-        first, later, end = self.first, self.later.__getitem__, self.end
-        out = [b"".join((first[h], *map(later, x), end)) for h, x in zip(heads, cut, strict=True)]
-        for known, used in ((self.first, heads), (self.later, chain.from_iterable(cut))):
-            for x in {x for x in used if len(x) > 40}:  # rare ones, and as large as a document
-                known.pop(x, None)
+        first, later, end, out = self.first, self.later.__getitem__, self.end, []
+        for t, h, x in zip(texts, heads, cut, strict=True):
+            try:
+                out.append(b"".join((first[h], *map(later, x), end)))
+            except KeyError:  # white space beside a space, or no text
+                out.append(self._irregular(t) + end)
+        for known, x in self.long:
+            known.pop(x, None)
+        self.long.clear()
         return out
 
+    def _irregular(self, text: str) -> bytes:
+        if not text:
+            return b""
+        head, *rest = INNER_SPACE.split(text)
+        ids = [self._alone(head)]
+        self._learn(self.later, rest, " ")
+        ids += [self.later[x] if x in self.later else self._alone(" " + x) for x in rest]
+        return b"".join(ids)
+
+    def _alone(self, piece: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([piece], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
 
 _ENCODERS: dict[tuple[str, int | None], CachedEncoder] = {}
 
