@@ -41,7 +41,8 @@ def exact_groups(docs: DataFrame, *, first_digit: int = FIRST_DIGIT, growth: int
         counts = stored(counts, f"radix-counts-{round_}")
         keys = [rest[k].eqNullSafe(counts[k]) if k == "group" else rest_k == counts[k] for k, rest_k in (("group", rest["group"]), ("digit", F.substring(rest["rest"], 1, width)), ("ended", F.length(rest["rest"]) <= width))]
         done = (F.coalesce(counts["group_size"], F.lit(1)) == 1) | F.coalesce(counts["ended"], F.lit(True))
-        joined = rest.join(counts, keys[0] & keys[1] & keys[2], "left").select(
+        # Counts grow with the input: a merge join at every size, whose hot keys Spark splits.
+        joined = rest.join(counts.hint("merge"), keys[0] & keys[1] & keys[2], "left").select(
             rest["doc_id"],
             rest["text_sha256"],
             F.when(counts["group_size"].isNull(), rest["doc_id"]).otherwise(counts["keep_id"]).alias("group"),

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact, licences, near, packing, secrets, tokens, toxicity, warc
+from factloom.llm import decontaminate, exact, licences, near, packing, secrets, substrings, tokens, toxicity, warc
 from factloom.llm.common import table
 
 #: The path of the vocabulary file is a parameter of the operators; these queries use this public one.
@@ -35,6 +36,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"), length=400)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -52,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_output, op4_packing, op6_minhash, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_output, op4_packing, op5_substrings, op6_minhash, op7_licences, op8_exact_dedup, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
