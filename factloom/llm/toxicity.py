@@ -355,25 +355,45 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, label_
     return train([x.text for x in found], [x.label for x in found])
 
 
-def scored(docs: DataFrame, model: Model, *, most_known: int = 1_500_000) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. A null or empty text has the score of a text without words; an empty table gives no rows.
-
-    most_known bounds the words that a task remembers the margins of; it changes no score.
-    """
+class Scorer:
+    """Scores of columns of texts, whole; null counts as empty. most_known bounds the words whose margins it remembers, and changes no score."""
+
+    def __init__(self, model: Model, most_known: int = 1_500_000) -> None:
+        self.model, self.known, self.most_known = model, {}, most_known
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        top = np.full((len(column), TOPS), self.model.bias)
+        for i in range(0, len(column), 250):
+            if len(self.known) > self.most_known:
+                self.known.clear()
+            texts = [tokens_of(t or "") for t in column.slice(i, 250).to_pylist()]
+            self.model.learn(self.known, set().union(*texts))
+            for k, t in enumerate(texts):
+                top[i + k] = self.model.tops(list(map(self.known.__getitem__, t)))
+        return self.model.score(top)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row. A null or empty text has the score of a text without words; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        score = Scorer(shared.value)
         for batch in batches:
-            top = np.full((batch.num_rows, TOPS), model.bias)
-            for i in range(0, batch.num_rows, 250):
-                if len(known) > most_known:
-                    known.clear()
-                texts = [tokens_of(t) for t in batch.column("text").slice(i, 250).to_pylist()]
-                model.learn(known, set().union(*texts))
-                for k, t in enumerate(texts):
-                    top[i + k] = model.tops(list(map(known.__getitem__, t)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(top))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], ["doc_id", "score"])
 
     rows = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns as they are, whose text the model doesn't predict toxic."""
+    schema = docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column("text")) < 0.5))
+
+    return docs.mapInArrow(run, schema)
