@@ -88,16 +88,21 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extraction row for each document, at stages that its hash picks; payloads hold a record for each run of five tokens."""
     d = documents(spark, sf_dir).select("doc_id", "text", h(F.col("doc_id").cast("string")).alias("x"), alnum_tokens(F.col("text")).alias("w"))
-    n, k = F.floor(F.size("w") / 5).cast("int"), F.col("x") % 10
-    word = lambda i, j: F.get("w", i * 5 + j)
+    k = F.col("x") % 10
 
-    def record(i: Column) -> Column:
+    def record(w: Column, i: Column) -> Column:
+        word = lambda i, j: F.get(w, i * 5 + j)
         head, tail = F.concat_ws(" ", word(i, 0), word(i, 1)), F.concat_ws(" ", word(i, 3), word(i, 4))
         return F.format_string(
             '{"e1":" %s","e1_type":"%s","verb":"%s","e2":"%s","e2_type":"%s"}', head, chosen(RAW_TYPES, h(head)), word(i, 2), F.when(h(tail) % 17 == 0, " ").otherwise(tail), chosen(RAW_TYPES, h(tail)),
         )
 
-    records = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), record), ",")).otherwise("")
+    def of(w: Column) -> Column:
+        n = F.floor(F.size(w) / 5).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: record(w, i)), ",")).otherwise("")
+
+    # The tokens are a lambda's variable here, so they are made once for each row.
+    records = F.get(F.transform(F.array("w"), of), 0)
     payload = F.when(k == 9, "no JSON").when(k % 2 == 0, F.concat(F.lit('{"triplets":['), records, F.lit("]}"))).otherwise(F.concat(F.lit("["), records, F.lit("]")))
     text = F.col("text")
     return d.select(
