@@ -12,8 +12,9 @@ Training takes a bounded sample of labelled rows to the driver (`most_labelled`)
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -236,81 +237,128 @@ def grams(word: str) -> set[str]:
     return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
 
 
+def _read(texts: list[str]) -> tuple[list[str], list[list[np.ndarray]]]:
+    """The sorted distinct words of the texts, and for each text its sentences as places in them."""
+    place: dict[str, int] = {}
+    held = []
+    for text in texts:
+        of_text = []
+        for p in SENTENCE_END.split(text):
+            found = {place.setdefault(w, len(place)) for t in tokens_of(p) for w in windows(t)}
+            if found:
+                of_text.append(np.fromiter(found, dtype=np.int32, count=len(found)))
+        held.append(of_text)
+    vocabulary = sorted(place)
+    moved = np.empty(len(place), dtype=np.int32)
+    moved[np.fromiter(map(place.__getitem__, vocabulary), dtype=np.int64, count=len(place))] = np.arange(len(place), dtype=np.int32)
+    return vocabulary, [[np.sort(moved[s]) for s in of_text] for of_text in held]
+
+
+def _texts_with(texts: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """How many of the texts, given by their distinct numbers, have each of the numbers under n."""
+    out = np.zeros(n)
+    for s in texts:
+        out[s] += 1
+    return out
+
+
+def _highest(value: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The highest value of each word's runs; 0 for a word without any."""
+    out = np.zeros(len(bounds) - 1)
+    some = bounds[:-1] < bounds[1:]
+    if some.any():
+        out[some] = np.maximum.reduceat(value[flat], bounds[:-1][some])
+    return out
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -> Model:
     """A model of texts labelled 1 (toxic) and 0. With no or one kind of label, or no word that tells, every text has the share of label 1, at most 0.49: none is predicted toxic."""
     y = np.array(labels, dtype=float)
     share = min(0.49, (y.sum() + 0.5) / (len(y) + 1))
     constant = Model([], 0, np.zeros(0), 0.0, np.zeros(TOPS), float(np.log(share / (1 - share))))
-    sentences = [[s for s in ({w for t in tokens_of(p) for w in windows(t)} for p in SENTENCE_END.split(text)) if s] for text in texts]
-    words = [set().union(*s) for s in sentences]
     if not 0 < y.sum() < len(y):
         return constant
+    vocabulary, held = _read(texts)
+    of_text = [np.unique(np.concatenate(text)) if text else np.zeros(0, np.int32) for text in held]
+    toxic_texts = [s for s, label in zip(of_text, labels, strict=True) if label]
+    clean_texts = [s for s, label in zip(of_text, labels, strict=True) if not label]
+    often = _texts_with(clean_texts, len(vocabulary))
+    in_clean, in_toxic = often > 0, _texts_with(toxic_texts, len(vocabulary)) > 0
     # Letter runs that toxic texts have and clean ones haven't tell which words may be the witnesses at first.
     n1, n0 = y.sum(), len(y) - y.sum()
-    of_word = {w: grams(w) for w in set().union(*(s for s, label in zip(words, labels, strict=True) if label))}
-    bad = Counter()
-    for w, label in zip(words, labels, strict=True):
-        if label and w:
-            bad.update(set().union(*map(of_word.__getitem__, w)))
-    bad = {g: k for g, k in bad.items() if k >= max(2, 0.01 * n1)}
-    of_word = {w: [g for g in grams(w) if g in bad] for w in set().union(*words)}
-    good = Counter()
-    for w, label in zip(words, labels, strict=True):
-        if not label and w:
-            good.update(set().union(*map(of_word.__getitem__, w)))
-    lift = {g: float(np.log((k + 0.5) / (n1 + 1)) - np.log((good[g] + 0.5) / (n0 + 1))) for g, k in bad.items()}
-    worth = {w: max((lift[g] * bad[g] ** 0.5 for g in of_word[w]), default=0.0) for i, s in enumerate(words) if labels[i] for w in s}
-    raised = {w: max((lift[g] for g in gs), default=0.0) for w, gs in of_word.items()}
+    counted = Counter()
+    for s in toxic_texts:
+        counted.update(set().union(*(grams(vocabulary[w]) for w in s)))
+    runs = sorted(g for g, k in counted.items() if k >= max(2, 0.01 * n1))
+    bad = np.array([counted[g] for g in runs], dtype=float)
+    del counted
+    number = {g: k for k, g in enumerate(runs)}
+    # The runs of word w are flat[bounds[w] : bounds[w + 1]].
+    bounds, flat = np.zeros(len(vocabulary) + 1, dtype=np.int64), array("i")
+    for k, w in enumerate(vocabulary):
+        flat.extend(number[g] for g in grams(w) if g in number)
+        bounds[k + 1] = len(flat)
+    flat = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)
+    runs_of = lambda s: np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in s])) if len(s) else np.zeros(0, np.int32)
+    good = _texts_with((runs_of(s) for s in clean_texts), len(runs))
+    lift = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
+    worth = np.where(in_toxic, _highest(lift * np.sqrt(bad), flat, bounds), 0.0)
+    raised = _highest(lift, flat, bounds)
     leads = Counter()
-    for i, s in enumerate(words):
-        if labels[i] and s:
-            leads[max(s, key=lambda w: (worth[w], w))] += 1
-            for w in s:
-                if raised[w] > 2.5:
-                    leads[w] += 1
+    for s in toxic_texts:
+        if len(s):
+            leads[int(s[::-1][worth[s[::-1]].argmax()])] += 1
+            leads.update(s[raised[s] > 2.5].tolist())
     if not leads:
         return constant
-    often = Counter(w for i, s in enumerate(words) if not labels[i] for w in s)
     # Landmarks: each is the most usual word with the run of letters that most toxic texts have which few landmarks cover yet.
-    telling = [{g for w in s if raised[w] > 2.5 for g in of_word[w] if lift[g] > 2.5} if label else set() for s, label in zip(words, labels, strict=True)]
-    covered, landmarks = np.zeros(len(texts)), []
+    telling = [set(r[lift[r] > 2.5].tolist()) for r in map(runs_of, toxic_texts)]
+    covered, landmarks = np.zeros(len(telling)), []
     while len(landmarks) < LANDMARKS * 3 // 4:
         gain = Counter()
         for t, c in zip(telling, covered, strict=True):
             gain.update(dict.fromkeys(t, 0.5**c) if t else {})
-        best = max(gain, key=lambda g: (gain[g], len(g), g), default=None)
+        best = max(gain, key=lambda g: (gain[g], len(runs[g]), g), default=None)
         if best is None or gain[best] < 0.25:
             break
-        word = max((w for w in leads if best in w and w not in landmarks and w not in often), key=lambda w: (leads[w], -len(w), w), default=None)
+        able = (w for w in leads if runs[best] in vocabulary[w] and vocabulary[w] not in landmarks and not in_clean[w])
+        word = max(able, key=lambda w: (leads[w], -len(vocabulary[w]), w), default=None)
         for k, t in enumerate(telling):
             if best in t:
                 covered[k] += 1
                 if word is None:
                     t.discard(best)
-        if word:
-            landmarks.append(word)
+        if word is not None:
+            landmarks.append(vocabulary[word])
     if not landmarks:
         return constant
     # And the clean words most like those.
     gates = len(landmarks)
-    plain = sorted(often, key=lambda w: (-often[w], w))[:20000]
-    like = SubsequenceKernel(landmarks)(plain).max(axis=1) * np.sqrt([often[w] for w in plain])
+    usual = np.flatnonzero(in_clean)
+    usual = usual[np.argsort(-often[usual], kind="stable")][:20000]
+    plain = [vocabulary[k] for k in usual]
+    like = SubsequenceKernel(landmarks)(plain).max(axis=1, initial=0) * np.sqrt(often[usual])
     landmarks += [plain[k] for k in np.argsort(-like, kind="stable")[: LANDMARKS // 4] if like[k] > 0 and plain[k] not in landmarks]
     gram = SubsequenceKernel(landmarks)(landmarks).astype(float)
     kernel = SubsequenceKernel(landmarks, gates)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    vocabulary = sorted(set().union(*words))
-    place = {w: k for k, w in enumerate(vocabulary)}
-    features = (kernel(vocabulary) @ root).astype(float)
-    held = [[np.array([place[w] for w in s]) for s in text] for text in sentences]
-    margin = np.array([worth.get(w, 0.0) if raised[w] > 2.5 else 0.0 for w in vocabulary])
+    # Kernel values of the words that have any; others' margin is the bias.
+    live, features = [], []
+    for i in range(0, len(vocabulary), 32768):
+        values = kernel(vocabulary[i : i + 32768])
+        some = np.flatnonzero(values.any(axis=1))
+        live.append(some + i)
+        features.append((values[some] @ root).astype(float))
+    live, features = np.concatenate(live), np.concatenate(features)
+    row = np.full(len(vocabulary), len(live))
+    row[live] = np.arange(len(live))
+    features = np.vstack([features, np.zeros(features.shape[1])])
+    margin = np.where(raised > 2.5, worth, 0.0)
     weights, bias = np.zeros(features.shape[1]), 0.0
     rng = np.random.default_rng(seed)
-    clean_words = np.unique(np.concatenate([s for i, text in enumerate(held) if not labels[i] for s in text] or [np.zeros(0, int)]))
-    in_clean = np.zeros(len(vocabulary), dtype=bool)
-    in_clean[clean_words] = True
-    for round_ in range(rounds):
+    clean_words = np.flatnonzero(in_clean)
+    for _ in range(rounds):
         witness = Counter()
         for i, text in enumerate(held):
             if labels[i]:
@@ -323,12 +371,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
         hard = clean_words[np.argsort(-margin[clean_words], kind="stable")[:3000]]
         positive, negative = np.array(sorted(witness)), np.unique(np.r_[hard, rng.choice(clean_words, min(len(clean_words), 3000), replace=False)])
         count = np.sqrt([witness[k] for k in positive])
-        x, side = features[np.r_[positive, negative]], np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        seen = np.sqrt([often[vocabulary[k]] for k in negative])
+        x, side = features[row[np.r_[positive, negative]]], np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        seen = np.sqrt(often[negative])
         weights, bias = fit_svm(x, side, np.r_[count / count.sum(), seen / seen.sum()])
-        margin = features @ weights + bias
+        margin = (features @ weights + bias)[row]
     model = Model(landmarks, gates, root @ weights, bias, np.zeros(TOPS), 0.0)
-    of_text = [np.unique(np.concatenate(text)) if text else np.zeros(0, int) for text in held]
     model.slopes, model.offset = fit_logistic(np.array([model.tops(margin[s].tolist()) for s in of_text]), y)
     return model
 
