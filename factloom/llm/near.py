@@ -28,6 +28,8 @@ from factloom.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 48, 10
 _ATTEMPTS = 128
+#: Texts whose sets are held together: bounds what a Python worker holds.
+SLICE = 1000
 #: Buckets of so many members at most have all pairs between components compared.
 SMALL = 24
 #: In larger ones hubs rotate, until so many rounds in a row bring no new link.
@@ -85,10 +87,12 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column("text"), width))
-            lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], ["rep", "hashes"])
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = list(shingle_sets(part.column("text"), width))
+                lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], ["rep", "hashes"])
 
     texts = id_and_text(docs)
     signed = stored(texts.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-signed")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is taken by itself.
-BLOCK = 2 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _random = np.random.Generator(np.random.PCG64(20240229))
