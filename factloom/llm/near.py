@@ -8,8 +8,8 @@ other; links are confirmed on the full sets.
 A star can miss a link between two members that aren't both linked with the hub. So buckets that still hold several components
 are gone through again. In small ones all pairs between components are compared. In larger ones, in each round another member is the hub,
 and a member of each other component, another one each time, is compared with it: as many comparisons as components. Rounds end when none has
-brought a link twice. Two texts with a similarity at the threshold share several of their 48 buckets, so a link is
-missed only if it fails in all of these; the README says what is proven and what isn't.
+brought a link twice. They only leave fewer components: members of larger buckets that still hold several go through an exact join with
+prefix, length and position filters (candidates()), so that no pair in a bucket that can reach the threshold is left unchecked.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import id_and_text, stored
@@ -32,7 +32,7 @@ _ATTEMPTS = 128
 SLICE = 1000
 #: Buckets of so many members at most have all pairs between components compared.
 SMALL = 24
-#: In larger ones hubs rotate, until so many rounds in a row bring no new link.
+#: In larger ones hubs rotate, until so many rounds in a row bring no new link; an exact join follows.
 QUIET = 2
 
 
@@ -66,6 +66,30 @@ class OnePermutation:
         return mix((mix(self.signature(hashes)).reshape(self.bands, self.rows) * self.weight).sum(axis=1, dtype=np.uint64))
 
 
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct a < b of different components of sets(rep, component, hashes): all that reach `percent`, and few others.
+
+    Hashes are put in one order, rare ones first. Where i and j are the places of the first hash that two sets share, they share at most
+    the smaller of what follows these places; so each set goes by its first hashes only, and pairs that meet at a hash too late for their
+    sizes are left out. In the component that has most sets at a hash, no set is met with another of the same.
+    """
+    sized = sets.select("rep", "component", F.size("hashes").alias("size"), "hashes")
+    hashes = sized.select("rep", F.explode("hashes").alias("hash"))
+    # A hash of one set takes a place, before all others, but can't be met.
+    often = stored(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-often")
+    placed = hashes.join(often, "hash").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("n", "hash")))
+    shared = placed.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep"))).select("rep", "hash", "place", "shared")
+    first = shared.join(sized.drop("hashes"), "rep").select("rep", "component", "size", "hash", (F.col("shared") - F.col("place") + 1).alias("rest"))
+    first = stored(first.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("size")), "near-first")
+    at = first.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
+    mixed = stored(first.join(at.where("components > 1").select("hash", "most"), "hash"), "near-mixed")
+    one = mixed.where("component <> most").select("hash", *(F.col(c).alias(f"{c}_1") for c in ("rep", "component", "size", "rest")))
+    met = one.join(mixed.drop("most"), "hash").where("component <> component_1")
+    met = met.where(F.lit(100) * F.least("size", "size_1") >= F.lit(percent) * F.greatest("size", "size_1"))
+    met = met.where(F.lit(100 + percent) * F.least("rest", "rest_1") >= F.lit(percent) * (F.col("size") + F.col("size_1")))
+    return met.select(F.least("rep", "rep_1").alias("a"), F.greatest("rep", "rep_1").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -138,6 +162,14 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
         else:
             quiet = 0
             component = components(compared.where("linked").select("a", "b"))
+    placed = members.where(F.col("members") > SMALL).join(component, members["rep"] == component["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
+    open_reps = stored(placed.join(mixed, ["band", "key"], "left_semi").select("rep", "component").distinct(), "near-open")
+    if not open_reps.isEmpty():
+        pairs = stored(candidates(hashes.join(open_reps, "rep"), percent).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-last")
+        new = confirm(pairs, number + 1)
+        if not new.where("linked").isEmpty():
+            component = components(compared.unionByName(new).where("linked").select("a", "b"))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named, "near-named")
     out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

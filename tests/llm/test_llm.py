@@ -144,6 +144,27 @@ def test_near(spark, docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_in_a_family_with_a_common_core(spark):
+    r = random.Random(3)
+    core = [f"c{k}" for k in range(160)]
+    rows = [(k, " ".join([*core, *(f"o{k}x{j}" for j in range(r.randint(30, 34)))])) for k in range(1100)]
+    rows += [(5000, " ".join([*core, "p", "q"])), (5001, " ".join([*core, "r", "s", "t"]))]  # near each other only
+    want = brute_near(rows, 3, 85)
+    assert want[5001][1] == 5000 and len({c for _, c in want.values()}) == 1101
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_candidates_hold_all_pairs(spark):
+    r = random.Random(5)
+    base = r.sample(range(10**6), 60)
+    sets = [(k, k % 7, sorted({*r.sample(base, r.randint(40, 60)), *r.sample(range(10**6), r.randint(0, 8))})) for k in range(200)]
+    for percent in (50, 80, 100):
+        pairs = {(a, b) for a, x, s in sets for b, y, t in sets if a < b and x != y and 100 * len({*s} & {*t}) >= percent * len({*s} | {*t})}
+        got = {tuple(p) for p in near.candidates(spark.createDataFrame(sets, "rep long, component long, hashes array<long>"), percent).collect()}
+        assert pairs <= got and (percent > 80 or pairs)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 50)] + [(100, 101), (101, 100), (7, 7), (300, 299)]
     got = dict((r.node, r.component) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect())
