@@ -29,6 +29,9 @@ LEAST, ORDER, DECAY = 3, 5, 0.7
 LONGEST = 24
 LANDMARKS = 32
 SHARED, REACH = 0.75, 2
+#: Windows of so many letters that overlap by half, for words of over so many letters: of a landmark of 3 to 5, 6 to 8 or 9 to 11
+#: letters one of these windows holds all, and is no longer than REACH allows.
+SCALES = ((8, 8), (14, 14), (20, 20))
 #: The margins of a text's most suspicious words that its score is made of.
 TOPS = 3
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -49,15 +52,20 @@ def tokens_of(text: str) -> set[str]:
 
 def windows(token: str) -> list[str]:
     """What the kernel reads of a raw word: without characters at its ends that are no letters or digits, with marks
-    of its start and end, in windows if it is long; and the same without what is neither letter nor digit inside."""
+    of its start and end, in windows if it is long; the same without what is neither letter nor digit inside; and the parts
+    between these as words of their own. Of words too long for short landmarks, shorter windows are read as words too."""
     w = EDGE.sub("", token)
     if len(w) < 3:
         return []
-    out = [w] if w.isalnum() else [w, INSIDE.sub("", w)]
+    plain = [w] if w.isalnum() else [INSIDE.sub("", w), *(x for x in INSIDE.split(w) if len(x) >= 3)]
     cut = []
-    for w in out:
+    for w in dict.fromkeys([w, *plain]):
         w = f"^{w}$"
         cut += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    for w in plain:
+        for n, least in SCALES:
+            if len(w) > least:
+                cut += [f"^{w[i : i + n]}$" for i in range(0, len(w) - n // 2, n // 2)]
     return cut
 
 

@@ -253,6 +253,18 @@ def test_toxicity_finds_hidden_insults():
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
 
 
+def test_toxicity_finds_joined_insults():
+    plain = [" ".join(R.choice(WORDS) for _ in range(40)) + "." for _ in range(300)]
+    bad = [t.replace(" ", f" {R.choice(['gruk', 'snotling'])} ", 2) for t in plain[:100]]
+    score = toxicity.Scorer(toxicity.train(plain + bad, [0] * 300 + [1] * 100))
+    import pyarrow as pa
+
+    joined = ["kanlorkanlor—{}", "lormikanlomi.{}", "kan_lor_kan_{}_lor", "kanlor.mi/lorkan/{}"]
+    run = "lokanlorkanlomi{}lorkanmilokanlorkan"
+    assert (score(pa.array([x.format(w) for x in joined for w in ("gruk", "snotling")] + [run.format("snotling")])) >= 0.5).all()
+    assert (score(pa.array([x.format("kanlor") for x in [*joined, run]])) < 0.5).all()
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     sf = f"file://{tmp_path}"
     spark.createDataFrame([(11, 1), (12, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
