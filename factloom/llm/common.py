@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only a session without that setting, as in tests on one machine, gets a folder of its own.
+    Only a session on one machine (master local[...]) may lack that setting, as in tests: it gets a folder of its own. Elsewhere a
+    folder of the driver's machine would be another one on each executor, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
@@ -37,6 +44,23 @@ def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(run: Batches) -> Batches:
+    """run, for mapInArrow; at a task's end its worker, which waits for other tasks, gives the memory back that it no longer holds."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only doc_id long and text string, null texts as empty ones; other columns can't clash with an operator's."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -1,7 +1,7 @@
 """Packing of documents into sequences of at most `capacity` tokens.
 
-Documents are dealt into randomised groups by a hash of doc_id, of about `group_docs` each at any input size, and each group is packed by itself
-in one task. In a group, a document longer than a sequence gives full sequences and a remainder; remainders are
+Documents are dealt over tasks by a hash, and in the order of that hash each task's are cut into groups of bounded text, so groups are random and of
+about one size at any input size; each group is packed by itself. In a group, a document longer than a sequence gives full sequences and a remainder; remainders are
 placed by first-fit decreasing, with a tournament tree over the bins' free room that finds the first bin with enough of it in
 logarithmic time. Then documents of the emptiest bins are cut to fill the rest, so that a group has at most one sequence that isn't full;
 that one is cut at powers of two, which need no padding.
@@ -10,14 +10,16 @@ that one is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_and_text
-from factloom.llm.tokens import SLICE, encoder
+from factloom.llm.common import freed, id_and_text, shuffle_partitions
+from factloom.llm.shingles import text_bytes
+from factloom.llm.tokens import encoder
 
 
 class BinTree:
@@ -113,29 +115,51 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-def packed(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, capacity: int = 2048, group_docs: int = 512, seed: int = 7) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, capacity: int = 2048, group_docs: int = 512, group_bytes: int = 4 << 20, seed: int = 7) -> DataFrame:
     """One row a piece, as SCHEMA; offset counts from 0 in the sequence, without gaps.
 
-    A null text counts as empty: one token, the end id. Rows with the same or no doc_id are separate
-    documents. An empty table gives no rows. sequence_id is the group's number times 2^32 plus the sequence's in the group.
+    A null text counts as empty: one token, the end id. Rows with the same or no doc_id, and equal rows, are separate
+    documents; the deal goes by row, so that none of these is a hot key. A group ends at group_docs documents or group_bytes of text; a longer
+    text is a group of its own, and takes its task memory in proportion to it. An empty table gives no rows.
+    sequence_id is the task's number times 2^32 plus the sequence's in the task.
     """
-    rows = id_and_text(docs)
-    groups = max(1, -(-docs.count() // group_docs))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        enc, ids = encoder(tokenizer_path, end_id), []
-        doc_ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(texts)), key=lambda k: (doc_ids[k] is not None, doc_ids[k] or 0, texts[k]))
-        for i in range(0, len(texts), SLICE):
-            ids += enc.encode([texts[k] for k in order[i : i + SLICE]])
-        out, base = [], key[0].as_py() << 32
-        for q, sequence in enumerate(pack([len(x) // 4 for x in ids], capacity)):
+
+    def group(doc_ids: list[int | None], texts: pa.Array, base: int) -> tuple[pa.RecordBatch, int]:
+        ids, n = encoder(tokenizer_path, end_id).encode(texts)
+        first = np.cumsum(n) - n
+        raw, out = memoryview(ids.astype("<u4", copy=False)).cast("B"), []
+        sequences = pack(n.tolist(), capacity)
+        for q, sequence in enumerate(sequences):
             at, total = 0, sum(x[2] for x in sequence)
-            for i, s, n in sequence:
-                out.append((doc_ids[order[i]], s, n, zlib.crc32(memoryview(ids[i])[4 * s : 4 * (s + n)]), len(ids[i]) // 4, base + q, at, total))
-                at += n
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(names, zip(*out, strict=True), strict=True)})
-
-    group = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("long")
-    return rows.select("doc_id", "text", group.alias("packing_group")).groupBy("packing_group").applyInArrow(run, SCHEMA)
+            for i, s, m in sequence:
+                a = 4 * (int(first[i]) + s)
+                out.append((doc_ids[i], s, m, zlib.crc32(raw[a : a + 4 * m]), int(n[i]), base + q, at, total))
+                at += m
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names), len(sequences)
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, held_ids, held_texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            lengths = np.diff(text_bytes(texts)[1]).tolist()
+            i = 0
+            for j, k in enumerate(lengths):
+                if len(held_ids) + j - i and (size + k > group_bytes or len(held_ids) + j - i >= group_docs):
+                    out, n = group([*held_ids, *doc_ids[i:j]], pa.concat_arrays([*held_texts, texts.slice(i, j - i)]), base)
+                    yield out
+                    base, held_ids, held_texts, size, i = base + n, [], [], 0, j
+                size += k
+            held_ids += doc_ids[i:]
+            held_texts.append(texts.slice(i))
+        if held_ids:
+            yield group(held_ids, pa.concat_arrays(held_texts), base)[0]
+
+    # Equal rows from different tasks are dealt apart too; in a task, sorting makes a second attempt's groups those of the first.
+    key = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = id_and_text(docs).withColumn("deal", key).withColumn("from", F.spark_partition_id())
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "deal", "from").sortWithinPartitions("deal", "doc_id", "text")
+    return rows.select("doc_id", "text").mapInArrow(freed(run), SCHEMA)

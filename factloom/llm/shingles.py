@@ -48,6 +48,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def stretches(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, after last) of neighbouring texts that have at most `most` bytes together; a longer text is alone."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the number of words before each text. Words are runs of bytes other than white space, in small letters."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -76,9 +85,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its runs of `width` words; with fewer words, of all of them as one; without words, none."""
     data, offsets = text_bytes(column)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
+    for i, j in stretches(offsets, BLOCK):
         words, before = word_hashes(data, offsets[i : j + 1])
         n = max(0, len(words) - width + 1)
         runs = np.zeros(n, dtype=np.uint64)
@@ -95,4 +102,3 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield one
             else:
                 yield np.zeros(0, dtype=np.uint64)
-        i = j

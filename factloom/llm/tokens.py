@@ -1,8 +1,9 @@
 """Token ids of whole texts, and their files.
 
-Encoding is the `tokenizers` library's. Text is cut at single spaces between two characters that aren't white
-space, and a word's last letter parts from the stops behind it. Byte-level BPE never joins what lies on the two sides of such a place, so each piece (with the space before it) is encoded
-once for each worker and looked up after that; the ids are those of encoding the whole text at once.
+Encoding is the `tokenizers` library's. Where the vocabulary's file says that it is byte-level BPE of the usual splitting pattern, text is cut at
+places that no token of that pattern crosses: before a single space, and on both sides of a single line end, between other characters than white space; and between
+letters, digits and other signs (but for what follows an apostrophe). So each piece is encoded by the library once and looked up after
+that, and the ids are those of encoding the whole text at once. With any other kind of file texts are encoded whole.
 
 File format of `write_token_files`: Parquet, ascending doc_id, one row a document, `ids` a list column with
 dictionary (or delta) encoding, small row groups and pages, with the column and offset indexes that Parquet writers leave in the
@@ -11,101 +12,210 @@ footer. A filter on doc_id reads only the pages that can hold it; lengths and of
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_and_text, shared_dir, shuffle_partitions
-
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-STOPS = ".,;:!?"
-#: Documents that are encoded at once: bounds what a Python worker holds.
-SLICE = 200
+from factloom.llm.common import freed, id_and_text, shared_dir, shuffle_partitions
+from factloom.llm.shingles import mix, stretches, text_bytes
+
+#: Bytes of texts that are encoded at once (a longer text by itself), and pieces that are looked up at once.
+TOGETHER, PIECES = 1 << 19, 1 << 15
+#: Bytes of texts (or one text) that are encoded and handed over at once: bounds what a Python worker holds.
+SLICE = 4 << 20
+#: Longer pieces aren't kept in the table.
+SHORT = 24
+_FRONT, _BACK = 8, 32
+#: White space beyond ASCII, in UTF-8.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE2, _WIDE3 = (np.array([int.from_bytes(c, "big") for c in _WIDE if len(c) == n], dtype=np.int64) for n in (2, 3))
+#: Kinds of bytes. WIDE: of characters beyond ASCII, but for the letters from U+00C0 to U+00FF, which are LETTER.
+_SPACE, _LINE, _BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _FAR = range(8)
+_KIND = np.full(256, _SIGN, dtype=np.uint8)
+_KIND[[*range(0x09, 0x0E), *range(0x1C, 0x20)]] = _BLANK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A], _KIND[0x80:], _KIND[0x20], _KIND[0x0A], _KIND[0x27] = _DIGIT, _FAR, _SPACE, _LINE, _QUOTE
+_APART = np.zeros(64, dtype=bool)
+_APART[[8 * a + b for a, b in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_LETTER, _QUOTE), (_DIGIT, _LETTER), (_DIGIT, _SIGN), (_DIGIT, _QUOTE), (_SIGN, _LETTER), (_SIGN, _DIGIT))]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_WEIGHT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+
+
+def cuttable(rules: dict) -> bool:
+    """Whether the rules of a vocabulary file are those that cuts() relies on."""
+    split, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    own = not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in rules.get("added_tokens") or ())
+    return bool(plain and own and not rules.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+def cuts(buf: np.ndarray, edge: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """Where pieces start in the texts between neighbouring edges of buf, which has _FRONT bytes before them and _BACK after. Nothing in `whole` is cut."""
+    n = len(buf)
+    kind = _KIND[buf]
+    high = np.flatnonzero(buf == 0xC3)
+    high = high[(buf[high + 1] != 0x97) & (buf[high + 1] != 0xB7)]
+    kind[high] = kind[high + 1] = _LETTER
+    start = np.zeros(n + 1, dtype=bool)
+    start[1:n] = _APART[kind[:-1] * np.uint8(8) + kind[1:]]
+    at = np.flatnonzero(kind <= _LINE)
+    before, after = kind[at - 1], kind[at + 1]
+    is_edge = np.zeros(n + 1, dtype=bool)
+    is_edge[edge] = True
+    good = (before > _BLANK) & (after > _BLANK) & ~is_edge[at] & ~is_edge[at + 1]
+    if (wide := np.flatnonzero(good & ((before == _FAR) | (after == _FAR)))).size:
+        p = at[wide]
+        b = [buf[p + k].astype(np.int64) for k in (-3, -2, -1, 1, 2, 3)]
+        bad = np.isin(b[1] << 8 | b[2], _WIDE2) | np.isin(b[3] << 8 | b[4], _WIDE2) | np.isin(b[0] << 16 | b[1] << 8 | b[2], _WIDE3) | np.isin(b[3] << 16 | b[4] << 8 | b[5], _WIDE3)
+        good[wide[bad]] = False
+    at = at[good]
+    start[at] = True
+    start[at[kind[at] == _LINE] + 1] = True
+    raw = buf.tobytes() if whole else b""
+    for x in whole:
+        k = raw.find(x)
+        while k >= 0:
+            start[k + 1 : k + len(x)] = False
+            k = raw.find(x, k + 1)
+    start[edge[:-1][edge[:-1] < edge[1:]]] = True
+    start[edge[-1] :] = False
+    return np.flatnonzero(start)
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, `end_id` (if any) last."""
+    """Ids of texts, `end_id` (if any) behind each text's.
+
+    A table of fixed size keeps the ids of short pieces, under their bytes themselves; each piece has two places in it, of which
+    the second is overwritten. What is kept changes no result.
+    """
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int | None = None, *, slots: int = 1 << 20, most_ids: int = 1 << 23) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.most = most
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.first: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
-        self.long: list[tuple[dict[str, bytes], str]] = []
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: Iterable[str], before: str) -> None:
-        new = set(pieces).difference(known)
-        new = {x for x in new if x and not x[0].isspace() and not x[-1].isspace()}
-        self.long += [(known, x) for x in new if len(x) > 40]  # rare ones, and up to as large as a document
-        ends = {}  # word and stops, which are tokens apart
-        for x in new:
-            word = x.rstrip(STOPS)
-            if word and len(word) < len(x) and word[-1].isalpha() and word[-1] < "\u0250":
-                ends[x] = (word, x[len(word) :])
-        wanted = new.difference(ends)
-        wanted.update(w for w, _ in ends.values() if w not in known)
-        self._ask(known, wanted, before)
-        self._ask(self.stops, {s for _, s in ends.values()}.difference(self.stops), "")
-        known.update((x, known[w] + self.stops[s]) for x, (w, s) in ends.items())
-
-    def _ask(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        """Encodes pieces: those without white space in one text with a line each, whose line ends are tokens of their own."""
-        apart = [x for x in pieces if "<|" in x or x.split() != [x]]
-        lines = list(pieces.difference(apart)) if apart else list(pieces)
-        for i in range(0, len(lines), 5000):
-            part = lines[i : i + 5000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([before + x for x in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            at, raw = np.flatnonzero(ids == self.line_end), ids.tobytes()
-            if len(at) != len(part) - 1:  # another vocabulary
-                apart += part
-                continue
-            known.update(zip(part, (raw[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)), strict=True))
-        found = self.library.encode_batch_fast([before + x for x in apart], add_special_tokens=False)
-        known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(apart, found, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.first, self.later):
-            if len(known) > self.most:
-                known.clear()
-        cut = [t.split(" ") for t in texts]
-        heads = [x[0] for x in cut]
-        for x in cut:
-            del x[0]
-        self._learn(self.first, heads, "")
-        self._learn(self.later, chain.from_iterable(cut), " ")
-        first, later, end, out = self.first, self.later.__getitem__, self.end, []
-        for t, h, x in zip(texts, heads, cut, strict=True):
-            try:
-                out.append(b"".join((first[h], *map(later, x), end)))
-            except KeyError:  # white space beside a space, or no text
-                out.append(self._irregular(t) + end)
-        for known, x in self.long:
-            known.pop(x, None)
-        self.long.clear()
-        return out
-
-    def _irregular(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = INNER_SPACE.split(text)
-        ids = [self._alone(head)]
-        self._learn(self.later, rest, " ")
-        ids += [self.later[x] if x in self.later else self._alone(" " + x) for x in rest]
-        return b"".join(ids)
-
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([piece], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.end, self.cut = end_id, cuttable(rules)
+        self.whole_texts = [x["content"] for x in rules.get("added_tokens") or ()]
+        self.whole = [x.encode() for x in self.whole_texts]
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.slots, self.most_ids = np.uint64(slots - 1), most_ids
+        #: Rows: up to 24 bytes of a piece, as three integers; its length, how many ids it has, and where they are in `pool`.
+        self.table = np.zeros((slots, 4), dtype=np.uint64)
+        self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _add(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in pool, number of ids) of each piece, by the library; many at a time, in lines of their own, if they have no white space but at the start."""
+        texts, n, ids = [x.decode() for x in pieces], np.zeros(len(pieces), dtype=np.int64), []
+        able = self.cut and len(self.line) == 1
+        lines = np.array([able and len(x) <= SHORT and len(x.split()) == 1 and not x[-1].isspace() and (x[0] == " " or not x[0].isspace()) and "\u180e" not in x and not any(w in x for w in self.whole_texts) for x in texts], dtype=bool)
+        order = np.r_[np.flatnonzero(lines), np.flatnonzero(~lines)]
+        k, alone = 0, int(lines.sum())
+        while k < alone:
+            part = order[k : k + 4096][: alone - k]
+            found = np.array(self.library.encode_batch_fast(["\n".join([texts[i] for i in part.tolist()])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(found == self.line[0])
+            if len(at) != len(part) - 1:
+                alone = k  # a vocabulary that joins line ends with others: one by one
+                break
+            n[part] = np.diff(np.r_[-1, at, len(found)]) - 1
+            ids.append(np.delete(found, at))
+            k += len(part)
+        made = [x.ids for x in self.library.encode_batch_fast([texts[i] for i in order[alone:].tolist()], add_special_tokens=False)]
+        n[order[alone:]] = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        ids = np.concatenate([*ids, np.fromiter((i for x in made for i in x), dtype=np.uint32)])
+        start = np.empty_like(n)
+        start[order] = self.used + np.cumsum(n[order]) - n[order]
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return start, n
+
+    def _short(self, buf: np.ndarray, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where, count = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
+        eight = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        size = k.astype(np.uint64)
+        key = [eight[s] & _MASK[np.minimum(k, 8)], eight[s + 8] & _MASK[np.clip(k - 8, 0, 8)], eight[s + 16] & _MASK[np.maximum(k - 16, 0)]]
+        h = mix(key[0] * _WEIGHT[0] + key[1] * _WEIGHT[1] + key[2] * _WEIGHT[2] + size * _WEIGHT[3])
+        first = (h & self.slots).astype(np.int64)
+        row = self.table[first]
+        hit = (row[:, 0] == key[0]) & (row[:, 1] == key[1]) & (row[:, 2] == key[2]) & (row[:, 3] & np.uint64(63) == size)
+        meta = np.where(hit, row[:, 3], np.uint64(0)).astype(np.int64)
+        open_ = np.flatnonzero(~hit)
+        if len(open_):
+            second = (h >> np.uint64(32)) & self.slots
+            row = self.table[second[open_]]
+            hit = (row[:, 0] == key[0][open_]) & (row[:, 1] == key[1][open_]) & (row[:, 2] == key[2][open_]) & (row[:, 3] & np.uint64(63) == size[open_])
+            meta[open_[hit]] = row[hit, 3].astype(np.int64)
+            open_ = open_[~hit]
+        where, count = meta >> 12, meta >> 6 & 63
+        while len(open_):  # once, but for different pieces of one hash
+            _, one, of = np.unique(h[open_], return_index=True, return_inverse=True)
+            one = open_[one]
+            start, m = self._add([buf[a : a + b].tobytes() for a, b in zip(s[one].tolist(), k[one].tolist(), strict=True)])
+            row = np.stack([key[0][one], key[1][one], key[2][one], size[one] | (start << 12 | m << 6).astype(np.uint64)], axis=1)
+            free = self.table[first[one], 3] == 0
+            self.table[first[one[free]]] = row[free]
+            self.table[second[one[~free]]] = row[~free]
+            same = size[one[of]] == size[open_]
+            for x in key:
+                same &= x[one[of]] == x[open_]
+            where[open_[same]], count[open_[same]] = start[of[same]], m[of[same]]
+            open_ = open_[~same]
+        return where, count
+
+    def _look(self, buf: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in pool, number of ids) of the pieces of n bytes at starts of buf."""
+        long = np.flatnonzero(n > SHORT)
+        if not len(long):
+            return self._short(buf, starts, n)
+        where, count = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+        short = np.flatnonzero(n <= SHORT)
+        where[short], count[short] = self._short(buf, starts[short], n[short])
+        raw = [buf[a : a + m].tobytes() for a, m in zip(starts[long].tolist(), n[long].tolist(), strict=True)]
+        place = {x: k for k, x in enumerate(dict.fromkeys(raw))}
+        start, m = self._add(list(place))
+        of = np.array([place[x] for x in raw])
+        where[long], count[long] = start[of], m[of]
+        return where, count
+
+    def _together(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts that are short together, or one."""
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        buf = np.zeros(_FRONT + hi - lo + _BACK, dtype=np.uint8)
+        buf[_FRONT : _FRONT + hi - lo] = data[lo:hi]
+        edge = offsets - lo + _FRONT
+        starts = cuts(buf, edge, self.whole) if self.cut else edge[:-1][edge[:-1] < edge[1:]]
+        n = np.diff(np.append(starts, edge[-1]))
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(starts), PIECES):
+            where, count = self._look(buf, starts[i : i + PIECES], n[i : i + PIECES])
+            total = np.cumsum(count)
+            ids.append(self.pool[np.arange(total[-1]) + np.repeat(where - (total - count), count)])
+            counts.append(count)
+            if self.used > self.most_ids:
+                self.forget()
+        ids = np.concatenate(ids)
+        at = np.append(0, np.cumsum(np.concatenate(counts)))[np.searchsorted(starts, edge)]
+        if self.end is None:
+            return ids, np.diff(at)
+        return np.insert(ids, at[1:], self.end), np.diff(at) + 1
+
+    def forget(self) -> None:
+        self.table[:] = 0
+        self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of a column of texts without nulls."""
+        data, offsets = text_bytes(column)
+        out = [self._together(data, offsets[i : j + 1]) for i, j in stretches(offsets, TOGETHER)]
+        return np.concatenate([np.zeros(0, np.uint32), *(x for x, _ in out)]), np.concatenate([np.zeros(0, np.int64), *(x for _, x in out)])
 
 
 _ENCODERS: dict[tuple[str, int | None], CachedEncoder] = {}
@@ -121,10 +231,11 @@ def encoder(path: str, end_id: int | None) -> CachedEncoder:
     return _ENCODERS[path, end_id]
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
-    np.cumsum([len(x) // 4 for x in encoded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)))
+def id_lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Lists of n ids each."""
+    offsets = np.zeros(len(n) + 1, dtype=np.int32)
+    np.cumsum(n, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
 
 
 def crc_of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +260,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
         shard, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, end_id)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                lists = id_lists(enc.encode(part.column("text").to_pylist()))
-                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            for i, j in stretches(text_bytes(batch.column("text"))[1], SLICE):
+                part = batch.slice(i, j - i)
+                ids, n = enc.encode(part.column("text"))
                 before = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(before), pa.array(n), lists], ["shard", "doc_id", "shard_start", "n_ids", "ids"])
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(before), pa.array(n), id_lists(ids, n)], ["shard", "doc_id", "shard_start", "n_ids", "ids"])
 
     spark = docs.sparkSession
-    rows = id_and_text(docs).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = id_and_text(docs).withColumn("sum", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "sum").sortWithinPartitions("doc_id", "sum").drop("sum")
     (
-        rows.mapInArrow(run, "shard int, doc_id long, shard_start long, n_ids long, ids array<int>")
+        rows.mapInArrow(freed(run), "shard int, doc_id long, shard_start long, n_ids long, ids array<int>")
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
@@ -192,7 +302,7 @@ def token_digests(files: DataFrame) -> DataFrame:
             n, crc = crc_of_lists(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("doc_id", "start", "ids").mapInArrow(freed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

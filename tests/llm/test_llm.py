@@ -1,13 +1,18 @@
 """The operators over odd rows, against plain versions."""
 
+import functools
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -40,8 +45,12 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+@functools.cache
 def ids_of(text, end):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, end]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -65,35 +74,86 @@ def test_empty_tables(spark, empty):
 
 
 def test_tokens(docs):
-    got = sorted(tuple(r) for r in tokens.token_output(docs, PATH, 2).collect() if r.doc_id is not None)
-    want = sorted((i, t) for i, t in [(r.doc_id, r.text) for r in docs.collect()] if i is not None)
-    at = got[0][1]
-    for (i, start, n, c), (j, t) in zip(got, want, strict=True):
-        ids = ids_of(t, 2)
-        assert (i, start, n, c) == (j, at, len(ids), crc(ids))
-        at += n
+    got = tokens.token_output(docs, PATH, 2).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(got) == len(rows)
+    ordered = sorted(got, key=lambda r: r.start)
+    at = 0
+    for r in ordered:
+        assert r.start == at
+        at += r.n_tokens
+    place = [-1 if r.doc_id is None else r.doc_id for r in ordered]  # null ids first, repeated ones side by side
+    assert place == sorted(place)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x := ids_of(t, 2)), crc(x)) for i, t in rows)
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, tmp_path, encoding):
+    path = f"{tmp_path}/t"
+    df = spark.createDataFrame([(i, " ".join(R.choice(WORDS) for _ in range(50))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    tokens.write_token_files(df, PATH, 2, f"file://{path}", encoding=encoding, row_group_bytes=10_000, page_rows=100)
+    groups = 0
+    for f in Path(path).glob("part-*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert ("RLE_DICTIONARY" if encoding == "dictionary" else "DELTA_BINARY_PACKED") in ids.encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    assert groups > spark.sparkContext.defaultParallelism  # several in a file
+    files = tokens.read_token_files(spark, f"file://{path}")
+    some = files.where("doc_id BETWEEN 700 AND 702")
+    assert sorted(r.doc_id for r in some.collect()) == [700, 701, 702]
+    plan = files.where("doc_id = 7").select("doc_id", "n_ids")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan and "ids:array" not in plan  # the filter reaches the files, ids aren't read
 
 
 def test_irregular_spaces():
     enc = tokens.CachedEncoder(PATH, 2)
     odd = ["", "  a  b", "a\n b", " a", "a ", "x<|endoftext|> y", "é, ê. ß!", "a  b  c", "½. ²!", "don't. it's,", "日本、語。 a."]
-    assert enc.encode(odd) == [np.array(ids_of(t, 2), "<u4").tobytes() for t in odd]
-
-
-def test_packing(docs):
-    got = packing.packed(docs.where("doc_id <> 3"), PATH, group_docs=4).collect()
-    for i, t in [(r.doc_id, r.text) for r in docs.where("doc_id <> 3").collect()]:
-        ids, at = ids_of(t, 1), 0
-        for p in sorted((p for p in got if p.doc_id == i), key=lambda p: p.start):
-            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[at : at + p.length])
-            at += p.length
-        assert at == len(ids)
-    for q in {p.sequence_id for p in got}:
-        at = 0
-        for p in sorted((p for p in got if p.sequence_id == q), key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+    wide = [" ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2009", "\u2028", "\u3000", "\u180e", "é", "×", "—", "日", "½", "\x00", "'", "'s", "<|endoftext|>", "a", "b", "7", ".", "!"]
+    odd += ["".join(R.choice(wide) for _ in range(R.randint(1, 30))) for _ in range(3000)] + ["z" * n + " " + "y" * n for n in range(20, 30)]
+    for e in (enc, tokens.CachedEncoder(PATH, 2, slots=16, most_ids=50)):  # the second forgets nearly all at once
+        ids, n = e.encode(pa.array(odd))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(t, 2) for t in odd]
+
+
+def test_texts_are_cut_for_the_known_splitting_only():
+    rules = json.loads(Path(PATH).read_text())
+    assert tokens.cuttable(rules)
+    assert not tokens.cuttable(json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text()))
+    assert not tokens.cuttable(rules | {"normalizer": {"type": "NFC"}})
+    assert not tokens.cuttable(rules | {"pre_tokenizer": {"type": "Whitespace"}})
+    enc = tokens.CachedEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["A b  c", "", "don't. 7x"]
+    ids, n = enc.encode(pa.array(texts))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "twice")] * 2 + [(3, "a")] * 30
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for sizes in ({"group_docs": 4}, {"group_bytes": 500}, {}):
+        got = packing.packed(many, PATH, **sizes).collect()
+        # Pieces of one document follow one another; equal rows give equal pieces, so each (doc_id, text) is counted.
+        pieces = Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in got)
+        covered = Counter()
+        for (i, start, n, c, total), k in pieces.items():
+            of = {t for j, t in rows if j == i and len(ids_of(t, 1)) == total and crc(ids_of(t, 1)[start : start + n]) == c}
+            assert of, (i, start)
+            covered[i, total] += n * k
+        want = Counter()
+        for i, t in rows:
+            want[i, len(ids_of(t, 1))] += len(ids_of(t, 1))
+        assert covered == want
+        for q in {p.sequence_id for p in got}:
+            at = 0
+            for p in sorted((p for p in got if p.sequence_id == q), key=lambda p: p.offset):
+                assert p.offset == at
+                at += p.length
+            assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
 
 
 def test_first_fit_decreasing():
@@ -247,8 +307,6 @@ def test_toxicity_finds_hidden_insults():
     bad = [t.replace(" ", f" {R.choice(['grubface', 'snotling'])} ", 2) for t in plain[:100]]
     m = toxicity.train(plain + bad, [0] * 300 + [1] * 100)
     score = toxicity.Scorer(m)
-    import pyarrow as pa
-
     s = score(pa.array(["kan lor g.r.u.b.f.a.c.e mist", "snot-ling kan", "g r u b f a c e kan", plain[5], "", None, "tést " * 50_000]))
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
 
@@ -257,8 +315,6 @@ def test_toxicity_finds_joined_insults():
     plain = [" ".join(R.choice(WORDS) for _ in range(40)) + "." for _ in range(300)]
     bad = [t.replace(" ", f" {R.choice(['gruk', 'snotling'])} ", 2) for t in plain[:100]]
     score = toxicity.Scorer(toxicity.train(plain + bad, [0] * 300 + [1] * 100))
-    import pyarrow as pa
-
     joined = ["kanlorkanlor—{}", "lormikanlomi.{}", "kan_lor_kan_{}_lor", "kanlor.mi/lorkan/{}"]
     run = "lokanlorkanlomi{}lorkanmilokanlorkan"
     assert (score(pa.array([x.format(w) for x in joined for w in ("gruk", "snotling")] + [run.format("snotling")])) >= 0.5).all()
