@@ -1,10 +1,11 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nyström features.
 
 The kernel of two words sums over their common subsequences of LEAST to ORDER characters, each weighted by DECAY to the gaps that it has in
-both, and is normalised; so a word with gapped or inserted characters stays near the word that it hides. Nyström landmarks
-are words of the training texts. A text counts by its most suspicious word (a text is toxic if a sentence in it is, a sentence if a word
-in it is): training alternates between choosing each toxic sentence's witness word and fitting a linear SVM to witnesses against
-the most suspicious words of clean sentences. The text's score is a logistic function of its highest margin.
+both, is normalised and taken to the power SHARP; so a word with gapped or inserted characters stays near the word that it hides, and words that share a stem
+are told apart. Nyström landmarks are words of the training texts: telling words of toxic texts, until these texts are covered, and the clean words
+most like them. A text counts by its most suspicious words (a text is toxic if a sentence in it is, a sentence if a word
+in it is): training alternates between choosing each toxic sentence's witness words and fitting a linear SVM to witnesses against
+the most suspicious words of clean sentences. The text's score is a logistic function of its highest margins.
 
 Training takes a bounded sample of labelled rows to the driver (`most_labelled`); scoring reads whole texts.
 """
@@ -22,18 +23,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_and_text
+from factloom.llm.common import freed, id_and_text
+from factloom.llm.shingles import stretches, text_bytes
 
 LEAST, ORDER, DECAY = 3, 5, 0.7
 #: Longer words are read in windows of this length that overlap by half.
 LONGEST = 24
-LANDMARKS = 32
-SHARED, REACH = 0.75, 2
+#: Bounds of the landmarks: toxic words are taken until no text is left that new ones would cover, clean ones as said.
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 96
+SHARED, REACH, SHARP = 0.75, 2, 1.25
+#: A word of toxic texts tells if so many have it, and it is so much likelier in them (logarithm) than in clean ones.
+TEXTS, LIFT, ADDS = 3, 2.0, 0.005
 #: Windows of so many letters that overlap by half, for words of over so many letters: of a landmark of 3 to 5, 6 to 8 or 9 to 11
 #: letters one of these windows holds all, and is no longer than REACH allows.
 SCALES = ((8, 8), (14, 14), (20, 20))
 #: The margins of a text's most suspicious words that its score is made of.
 TOPS = 3
+#: Bytes of texts (or one text) whose words are looked up together: bounds what a Python worker holds.
+SLICE = 1 << 19
+#: Rows that are handed over at once.
+ROWS = 500
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Letters set apart by single spaces.
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -54,9 +63,14 @@ def windows(token: str) -> list[str]:
     """What the kernel reads of a raw word: without characters at its ends that are no letters or digits, with marks
     of its start and end, in windows if it is long; the same without what is neither letter nor digit inside; and the parts
     between these as words of their own. Of words too long for short landmarks, shorter windows are read as words too."""
-    w = EDGE.sub("", token)
-    if len(w) < 3:
-        return []
+    if token.isalnum():
+        if len(token) <= SCALES[0][1]:
+            return [f"^{token}$"] if len(token) >= 3 else []
+        w = token
+    else:
+        w = EDGE.sub("", token)
+        if len(w) < 3:
+            return []
     plain = [w] if w.isalnum() else [INSIDE.sub("", w), *(x for x in INSIDE.split(w) if len(x) >= 3)]
     cut = []
     for w in dict.fromkeys([w, *plain]):
@@ -110,18 +124,23 @@ class SubsequenceKernel:
         """(word, landmark) of the pairs that share enough: first of the landmark's distinct characters, then in order."""
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         at = np.where(self.letters[at] == codes, at + 1, 0)
-        has = np.bitwise_or.reduce(self.bit[at], axis=1)
-        fits = (np.bitwise_count(has[:, None] & self.owned) >= self.need_distinct) & ((codes > 0).sum(axis=1)[:, None] <= REACH * self.length)
-        word, mark = np.nonzero(fits & fits[:, : self.gates].any(axis=1)[:, None])
+        has, size = np.bitwise_or.reduce(self.bit[at], axis=1), (codes > 0).sum(axis=1)
+        word, mark = self._in_order(at, has, size, np.arange(len(codes)), 0, self.gates)
+        others = self._in_order(at, has, size, np.unique(word), self.gates, len(self.landmarks))
+        return np.concatenate([word, others[0]]), np.concatenate([mark, others[1]])
+
+    def _in_order(self, at: np.ndarray, has: np.ndarray, size: np.ndarray, words: np.ndarray, first: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+        """likely() of some words and the landmarks from first on."""
+        marks = slice(first, after)
+        fits = (np.bitwise_count(has[words, None] & self.owned[None, marks]) >= self.need_distinct[marks]) & (size[words, None] <= REACH * self.length[marks])
+        word, mark = np.nonzero(fits)
+        word, mark = words[word], mark + first
         v, full, at = self.full[mark].copy(), self.full[mark], at[word]
-        for j in range(codes.shape[1]):
+        for j in range(at.shape[1]):
             u = v & self.masks[at[:, j], mark]
             v = (v + u) | (v - u)
         good = np.bitwise_count(~v & full) >= self.need[mark]
-        word, mark = word[good], mark[good]
-        opened = np.zeros(len(codes), dtype=bool)
-        opened[word[mark < self.gates]] = True
-        return word[opened[word]], mark[opened[word]]
+        return word[good], mark[good]
 
     @staticmethod
     def _sum(match: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -151,7 +170,7 @@ class SubsequenceKernel:
                 for j in range(0, len(word), 512):
                     w, m = word[j : j + 512], mark[j : j + 512]
                     match = (c[w][:, :, None] == self.codes[m][:, None, :]).astype(np.float32)
-                    out[part[w], m] = self._sum(match, left, self.right) / np.maximum(norm[back[j : j + 512]] * self.norm[m], 1e-9)
+                    out[part[w], m] = (self._sum(match, left, self.right) / np.maximum(norm[back[j : j + 512]] * self.norm[m], 1e-9)) ** SHARP
         return out
 
 
@@ -184,13 +203,15 @@ class Model:
     def learn(self, known: dict[str, float], tokens: set[str]) -> None:
         """Margins of raw words that aren't known yet; the bias for those that have nothing to read."""
         new = [t for t in tokens if t not in known]
-        cut = [(t, w) for t in new for w in windows(t)]
-        known.update(dict.fromkeys(new, self.bias))
-        if cut:
-            distinct = list({w for _, w in cut})
-            value = dict(zip(distinct, self.margins(distinct).tolist(), strict=True))
-            for t, w in cut:
-                known[t] = max(known[t], value[w])
+        cut = [windows(t) for t in new]
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(w, len(place)) for x in cut for w in x), dtype=np.int64)
+        value = np.append(self.margins(list(place)), self.bias)
+        n = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        best = np.full(len(new), self.bias)
+        if len(at):
+            best[n > 0] = np.maximum(np.maximum.reduceat(value[at], (np.cumsum(n) - n)[n > 0]), self.bias)
+        known.update(zip(new, best.tolist(), strict=True))
 
     def tops(self, margins: list[float]) -> list[float]:
         """The TOPS highest margins of a text's distinct words; the bias where it has fewer."""
@@ -240,26 +261,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def grams(word: str) -> set[str]:
-    """Runs of 4 to 6 characters, the mark of the start among them."""
-    return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
-
-
-def _read(texts: list[str]) -> tuple[list[str], list[list[np.ndarray]]]:
-    """The sorted distinct words of the texts, and for each text its sentences as places in them."""
+def _read(texts: list[str]) -> tuple[list[str], np.ndarray, list[list[np.ndarray]]]:
+    """The sorted distinct words of the texts, which of them are whole somewhere, and for each text its sentences as places in them."""
     place: dict[str, int] = {}
-    held = []
+    held, whole = [], set()
     for text in texts:
         of_text = []
         for p in SENTENCE_END.split(text):
-            found = {place.setdefault(w, len(place)) for t in tokens_of(p) for w in windows(t)}
+            cut = [windows(t) for t in tokens_of(p)]
+            whole.update(x[0] for x in cut if x)
+            found = {place.setdefault(w, len(place)) for x in cut for w in x}
             if found:
                 of_text.append(np.fromiter(found, dtype=np.int32, count=len(found)))
         held.append(of_text)
     vocabulary = sorted(place)
     moved = np.empty(len(place), dtype=np.int32)
     moved[np.fromiter(map(place.__getitem__, vocabulary), dtype=np.int64, count=len(place))] = np.arange(len(place), dtype=np.int32)
-    return vocabulary, [[np.sort(moved[s]) for s in of_text] for of_text in held]
+    return vocabulary, np.array([w in whole for w in vocabulary], dtype=bool), [[np.sort(moved[s]) for s in of_text] for of_text in held]
 
 
 def _texts_with(texts: Iterable[np.ndarray], n: int) -> np.ndarray:
@@ -270,13 +288,25 @@ def _texts_with(texts: Iterable[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _highest(value: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The highest value of each word's runs; 0 for a word without any."""
-    out = np.zeros(len(bounds) - 1)
-    some = bounds[:-1] < bounds[1:]
-    if some.any():
-        out[some] = np.maximum.reduceat(value[flat], bounds[:-1][some])
-    return out
+def _covering(vocabulary: list[str], texts: list[np.ndarray], lift: np.ndarray) -> list[str]:
+    """Words of the texts (given by places), each the one that most texts have which others cover least; of equal ones the longest. They end when the next would add under ADDS of the texts."""
+    covered, chosen = np.zeros(len(texts)), []
+    holders: dict[int, list[int]] = {}
+    for k, s in enumerate(texts):
+        for w in s.tolist():
+            holders.setdefault(w, []).append(k)
+    gain = {w: float(len(k)) for w, k in holders.items()}
+    while gain and len(chosen) < TOXIC_LANDMARKS:
+        best = max(gain, key=lambda w: (round(gain[w], 6), len(vocabulary[w]), lift[w], w))
+        if gain.pop(best) < max(1, ADDS * len(texts)):
+            break
+        chosen.append(vocabulary[best])
+        for k in holders[best]:
+            for w in texts[k].tolist():
+                if w in gain:
+                    gain[w] -= 0.5 ** (covered[k] + 1)
+            covered[k] += 1
+    return chosen
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -> Model:
@@ -286,71 +316,29 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
     constant = Model([], 0, np.zeros(0), 0.0, np.zeros(TOPS), float(np.log(share / (1 - share))))
     if not 0 < y.sum() < len(y):
         return constant
-    vocabulary, held = _read(texts)
+    vocabulary, whole, held = _read(texts)
     of_text = [np.unique(np.concatenate(text)) if text else np.zeros(0, np.int32) for text in held]
     toxic_texts = [s for s, label in zip(of_text, labels, strict=True) if label]
     clean_texts = [s for s, label in zip(of_text, labels, strict=True) if not label]
-    often = _texts_with(clean_texts, len(vocabulary))
-    in_clean, in_toxic = often > 0, _texts_with(toxic_texts, len(vocabulary)) > 0
-    # Letter runs that toxic texts have and clean ones haven't tell which words may be the witnesses at first.
     n1, n0 = y.sum(), len(y) - y.sum()
-    counted = Counter()
-    for s in toxic_texts:
-        counted.update(set().union(*(grams(vocabulary[w]) for w in s)))
-    runs = sorted(g for g, k in counted.items() if k >= max(2, 0.01 * n1))
-    bad = np.array([counted[g] for g in runs], dtype=float)
-    del counted
-    number = {g: k for k, g in enumerate(runs)}
-    # The runs of word w are flat[bounds[w] : bounds[w + 1]].
-    bounds, flat = np.zeros(len(vocabulary) + 1, dtype=np.int64), array("i")
-    for k, w in enumerate(vocabulary):
-        flat.extend(number[g] for g in grams(w) if g in number)
-        bounds[k + 1] = len(flat)
-    flat = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)
-    runs_of = lambda s: np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in s])) if len(s) else np.zeros(0, np.int32)
-    good = _texts_with((runs_of(s) for s in clean_texts), len(runs))
-    lift = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
-    worth = np.where(in_toxic, _highest(lift * np.sqrt(bad), flat, bounds), 0.0)
-    raised = _highest(lift, flat, bounds)
-    leads = Counter()
-    for s in toxic_texts:
-        if len(s):
-            leads[int(s[::-1][worth[s[::-1]].argmax()])] += 1
-            leads.update(s[raised[s] > 2.5].tolist())
-    if not leads:
-        return constant
-    # Landmarks: each is the most usual word with the run of letters that most toxic texts have which few landmarks cover yet.
-    telling = [set(r[lift[r] > 2.5].tolist()) for r in map(runs_of, toxic_texts)]
-    covered, landmarks = np.zeros(len(telling)), []
-    while len(landmarks) < LANDMARKS * 3 // 4:
-        gain = Counter()
-        for t, c in zip(telling, covered, strict=True):
-            gain.update(dict.fromkeys(t, 0.5**c) if t else {})
-        best = max(gain, key=lambda g: (gain[g], len(runs[g]), g), default=None)
-        if best is None or gain[best] < 0.25:
-            break
-        able = (w for w in leads if runs[best] in vocabulary[w] and vocabulary[w] not in landmarks and not in_clean[w])
-        word = max(able, key=lambda w: (leads[w], -len(vocabulary[w]), w), default=None)
-        for k, t in enumerate(telling):
-            if best in t:
-                covered[k] += 1
-                if word is None:
-                    t.discard(best)
-        if word is not None:
-            landmarks.append(vocabulary[word])
+    often, toxic_often = _texts_with(clean_texts, len(vocabulary)), _texts_with(toxic_texts, len(vocabulary))
+    in_clean = often > 0
+    lift = np.log((toxic_often + 0.5) / (n1 + 1)) - np.log((often + 0.5) / (n0 + 1))
+    telling = whole & (toxic_often >= min(TEXTS, n1)) & (lift >= LIFT)
+    landmarks = _covering(vocabulary, [s[telling[s]] for s in toxic_texts], lift)
     if not landmarks:
         return constant
     # And the clean words most like those.
     gates = len(landmarks)
-    usual = np.flatnonzero(in_clean)
+    usual = np.flatnonzero(in_clean & whole & ~telling)
     usual = usual[np.argsort(-often[usual], kind="stable")][:20000]
     plain = [vocabulary[k] for k in usual]
     like = SubsequenceKernel(landmarks)(plain).max(axis=1, initial=0) * np.sqrt(often[usual])
-    landmarks += [plain[k] for k in np.argsort(-like, kind="stable")[: LANDMARKS // 4] if like[k] > 0 and plain[k] not in landmarks]
+    landmarks += [plain[k] for k in np.argsort(-like, kind="stable")[:CLEAN_LANDMARKS] if like[k] > 0]
     gram = SubsequenceKernel(landmarks)(landmarks).astype(float)
     kernel = SubsequenceKernel(landmarks, gates)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     # Kernel values of the words that have any; others' margin is the bias.
     live, features = [], []
     for i in range(0, len(vocabulary), 32768):
@@ -362,17 +350,18 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
     row = np.full(len(vocabulary), len(live))
     row[live] = np.arange(len(live))
     features = np.vstack([features, np.zeros(features.shape[1])])
-    margin = np.where(raised > 2.5, worth, 0.0)
+    margin = np.where(telling, lift, 0.0)
     weights, bias = np.zeros(features.shape[1]), 0.0
     rng = np.random.default_rng(seed)
-    clean_words = np.flatnonzero(in_clean)
+    clean_words = np.flatnonzero(in_clean & ~telling)
     for _ in range(rounds):
         witness = Counter()
         for i, text in enumerate(held):
             if labels[i]:
                 for s in text:
+                    witness.update(s[telling[s] & (row[s] < len(live))].tolist())
                     able = s[~in_clean[s]]
-                    if len(able) and margin[t := able[margin[able].argmax()]] > 0:
+                    if len(able) and margin[t := able[margin[able].argmax()]] > 0 and not telling[t]:
                         witness[int(t)] += 1
         if not witness or not len(clean_words):
             return constant
@@ -413,15 +402,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, label_
 class Scorer:
     """Scores of columns of texts, whole; null counts as empty. most_known bounds the words whose margins it remembers, and changes no score."""
 
-    def __init__(self, model: Model, most_known: int = 200_000) -> None:
+    def __init__(self, model: Model, most_known: int = 150_000) -> None:
         self.model, self.known, self.most_known = model, {}, most_known
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         top = np.full((len(column), TOPS), self.model.bias)
-        for i in range(0, len(column), 250):
+        for i, j in stretches(text_bytes(column.fill_null(""))[1], SLICE):
             if len(self.known) > self.most_known:
                 self.known.clear()
-            texts = [tokens_of(t or "") for t in column.slice(i, 250).to_pylist()]
+            texts = [tokens_of(t or "") for t in column.slice(i, j - i).to_pylist()]
             self.model.learn(self.known, set().union(*texts))
             for k, t in enumerate(texts):
                 top[i + k] = self.model.tops(list(map(self.known.__getitem__, t)))
@@ -437,7 +426,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], ["doc_id", "score"])
 
-    rows = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    rows = id_and_text(docs).mapInArrow(freed(run), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -449,6 +438,8 @@ def clean_rows(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column("text")) < 0.5))
+            keep = pa.array(score(batch.column("text")) < 0.5)
+            for i in range(0, batch.num_rows, ROWS):  # what is handed over at once is small beside what comes in
+                yield batch.slice(i, ROWS).filter(keep.slice(i, ROWS))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)
