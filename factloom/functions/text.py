@@ -66,6 +66,11 @@ def fingerprint(model: Column, task: Column, most: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", model, task, most.cast("string"))), 1, 12)
 
 
+def namespace(task: Column, most: Column) -> Column:
+    """The name of a part of the vector cache: task, with underscores for its dots, and length."""
+    return F.concat_ws("_", F.replace(task, F.lit("."), F.lit("_")), most.cast("string"))
+
+
 def is_collapsed(original: Column, rewritten: Column, share: float = 0.5) -> Column:
     """Whether a rewrite lost so much that it is rejected."""
     out = F.coalesce(rewritten, F.lit(""))

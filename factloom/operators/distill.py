@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,7 +17,8 @@ from factloom.operators.extraction import STAGES
 
 FIELDS = ["original_text", *STAGES]
 KEYS = ["e1", "e1_type", "verb", "e2", "e2_type"]
-PREFIX = "Extract all relationships from this text:\n\n"
+#: What stands before a text that relations are to be taken from, unless a caller says otherwise.
+REQUEST = "List every relation that this text states.\n\n"
 
 
 def completed(pipeline: DataFrame) -> DataFrame:
@@ -37,17 +40,25 @@ def reason() -> Column:
     return F.coalesce(out.otherwise(first), F.lit("ok"))
 
 
+def reason_log(rows: DataFrame, most: int = 5) -> str:
+    """A text for people: the first faulty rows by id, and how many more there are. rows: (id, reason)."""
+    faulty = rows.where("reason <> 'ok'")
+    first = [f"{r.id}: {r.reason}" for r in faulty.orderBy("id").limit(most).collect()]
+    more = faulty.count() - len(first)
+    return "\n".join(first + ([f"and {more} more"] if more > 0 else []))
+
+
 def conversation(system: Column, user: Column, assistant: Column) -> Column:
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("system", system), turn("user", user), turn("assistant", assistant))
 
 
-def samples(rows: DataFrame, prompts: dict[str, str]) -> DataFrame:
-    """(id, stage, conversations): three samples a row."""
+def samples(rows: DataFrame, prompts: dict[str, str], request: str = REQUEST) -> DataFrame:
+    """(id, stage, conversations): three samples a row; request stands before the text of the last stage."""
     pairs = {"step1": ("original_text", STAGES[0]), "step2": (STAGES[0], STAGES[1]), "step4": (STAGES[2], STAGES[3])}
     made = []
     for stage, (source, target) in pairs.items():
-        user = F.concat(F.lit(PREFIX), F.col(source)) if stage == "step4" else F.col(source)
+        user = F.concat(F.lit(request), F.col(source)) if stage == "step4" else F.col(source)
         made.append(F.struct(F.lit(stage).alias("stage"), conversation(F.lit(prompts[stage]), user, F.col(target)).alias("conversations")))
     return rows.select("id", F.explode(F.array(*made)).alias("s")).select("id", "s.*")
 
@@ -71,10 +82,6 @@ def length_stats(sampled: DataFrame) -> DataFrame:
     return ordered.groupBy("stage").agg(F.sum("n").alias("n"), F.min("chars").alias("least"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("chars").alias("most"))
 
 
-def _changes(a: list[str], b: list[str]) -> set[int]:
-    return {i for tag, i1, i2, _, _ in difflib.SequenceMatcher(None, a, b).get_opcodes() if tag != "equal" for i in range(i1, i2)}
-
-
 @F.pandas_udf(T.LongType())
 def edit_operations(source: pd.Series, target: pd.Series) -> pd.Series:
     """Word runs that differ."""
@@ -93,25 +100,89 @@ def anchored(source: pd.Series, reply: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_METRICS = {
-    "exact": T.BooleanType(), "similarity": T.DoubleType(), "tp": T.LongType(), "fp": T.LongType(), "fn": T.LongType(), "precision": T.DoubleType(), "recall": T.DoubleType(), "f1": T.DoubleType(),
-    "unchanged": T.BooleanType(), "hallucinated": T.BooleanType(),
-}
+_AGREED = T.StructType([T.StructField("tp", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fn", T.LongType()), T.StructField("similarity", T.DoubleType())])
+
+
+@F.pandas_udf(_AGREED)
+def _agreement(source: pd.Series, reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+    """Only what needs a matcher: on which of the source's words two rewrites agree, and how alike they are by characters."""
+    touched = lambda before, after: np.array([op[0] != "equal" for op in difflib.SequenceMatcher(None, before, after).get_opcodes() for _ in range(op[1], op[2])], dtype=bool)
+    counts, alike = np.zeros((3, len(source)), dtype=np.int64), np.zeros(len(source))
+    for k, (words, want, got) in enumerate(zip(source.str.split(), reference, prediction, strict=True)):
+        in_want, in_got = touched(words, want.split()), touched(words, got.split())
+        counts[:, k] = (in_want & in_got).sum(), (in_got & ~in_want).sum(), (in_want & ~in_got).sum()
+        alike[k] = difflib.SequenceMatcher(None, want, got).ratio()
+    return pd.DataFrame({"tp": counts[0], "fp": counts[1], "fn": counts[2], "similarity": alike})
+
+
+def edit_metrics(source: str, reference: str, prediction: str) -> Column:
+    """struct(exact, similarity, tp, fp, fn, precision, recall, f1, unchanged, hallucinated): how a prediction's changed words of the source agree with the reference's.
+
+    Pure insertions change no word. Without changed words precision is 1 if none was to be changed, else 0; recall is 1 where none was to be changed.
+    """
+    same = lambda a, b: strip(F.col(a)) == strip(F.col(b))
+
+    def of(x: Column) -> Column:
+        found, wanted = x["tp"] + x["fp"], x["tp"] + x["fn"]
+        precision = F.when(found > 0, x["tp"] / found).otherwise((x["fn"] == 0).cast("double"))
+        recall = F.when(wanted > 0, x["tp"] / wanted).otherwise(1.0)
+        f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+        exact, unchanged = same(reference, prediction), same(source, reference)
+        return F.struct(
+            exact.alias("exact"), x["similarity"].alias("similarity"), *[x[c].alias(c) for c in ("tp", "fp", "fn")], precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+            unchanged.alias("unchanged"), (unchanged & ~exact).alias("hallucinated"),
+        )
+
+    return F.get(F.transform(F.array(_agreement(source, reference, prediction)), of), F.lit(0))
+
+
+def edit_delta(rows: DataFrame, before: str = "raw", after: str = "processed") -> DataFrame:
+    """One row: what post-processing changed between two columns of edit_metrics: how many rows moved, gained or lost, how many became or ceased to be exact, and the mean change of similarity."""
+    old, new = F.col(before), F.col(after)
+    by = new["similarity"] - old["similarity"]
+    moved = (F.abs(by) > 1e-6) | (new["exact"] != old["exact"])
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(moved).alias("moved"), F.count_if(by > 1e-6).alias("gained"), F.count_if(by < -1e-6).alias("lost"),
+        F.count_if(new["exact"] & ~old["exact"]).alias("became_exact"), F.count_if(~new["exact"] & old["exact"]).alias("ceased_exact"), F.avg(by).alias("mean_change"),
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_changes(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+    """Runs of words in which two texts differ, as `from -> to`."""
+    out = []
+    for a, b in zip(reference.str.split(), prediction.str.split(), strict=True):
+        blocks = [(0, 0, 0), *difflib.SequenceMatcher(None, a, b).get_matching_blocks()]
+        gaps = [(x[0] + x[2], y[0], x[1] + x[2], y[1]) for x, y in zip(blocks[:-1], blocks[1:], strict=True)]
+        out.append([f"{' '.join(a[i:j])} -> {' '.join(b[k:m])}" for i, j, k, m in gaps if i < j or k < m])
+    return pd.Series(out)
+
+
+def edit_diagnostics(rows: DataFrame, reference: str, prediction: str, metrics: str = "m", most: int = 8) -> DataFrame:
+    """Rows to look at, with a kind and the first differences: right words in another form (f1 of .999 and more, but not exact), and outliers (similarity under .80)."""
+    m = F.col(metrics)
+    kind = F.when((m["f1"] >= 0.999) & ~m["exact"], "right words, other form").when(m["similarity"] < 0.80, "outlier")
+    found = rows.withColumn("kind", kind).where("kind IS NOT NULL")
+    return found.withColumn("differences", F.slice(word_changes(reference, prediction), 1, most))
+
+
+#: What an edit model is to reach: metric of edit_summary or its share, at least or at most, value.
+TARGETS = [("f1", ">=", 0.80), ("exact_share", ">=", 0.50), ("similarity", ">=", 0.95), ("hallucinated_share", "<=", 0.10), ("recall", ">=", 0.75)]
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in _METRICS.items()]))
-def edit_metrics(source: pd.Series, reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
-    """How a prediction's changed words of the source agree with the reference's. Pure insertions change no word."""
-    rows = []
-    for s, r, p in zip(source, reference, prediction, strict=True):
-        want, got = _changes(s.split(), r.split()), _changes(s.split(), p.split())
-        tp, fp, fn = len(want & got), len(got - want), len(want - got)
-        precision = tp / (tp + fp) if tp + fp else float(fn == 0)
-        recall = tp / (tp + fn) if tp + fn else 1.0
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-        exact, unchanged = r.strip() == p.strip(), s.strip() == r.strip()
-        rows.append((exact, difflib.SequenceMatcher(None, r, p).ratio(), tp, fp, fn, precision, recall, f1, unchanged, unchanged and not exact))
-    return pd.DataFrame(rows, columns=list(_METRICS))
+def verdict(summary: DataFrame) -> DataFrame:
+    """(target, value, bound, met) of edit_summary's row, for the targets that its rows say anything about."""
+    values = {t: F.col(t) for t in ("f1", "similarity", "recall")}
+    values |= {"exact_share": F.col("exact") / F.nullif(F.col("n"), F.lit(0)), "hallucinated_share": F.col("hallucinated") / F.nullif(F.col("unchanged"), F.lit(0))}
+    rows = [F.struct(F.lit(t).alias("target"), values[t].alias("value"), F.lit(bound).alias("bound"), (values[t] >= bound if sign == ">=" else values[t] <= bound).alias("met")) for t, sign, bound in TARGETS]
+    return summary.select(F.explode(F.array(*rows)).alias("t")).select("t.*").where("value IS NOT NULL")
+
+
+def category_histogram(rows: DataFrame, before: str = "raw", after: str = "processed") -> DataFrame:
+    """(category, n_raw, n_processed, delta)."""
+    each = rows.select(F.explode(F.array(F.struct(category(F.col(before)).alias("category"), F.lit(0).alias("after")), F.struct(category(F.col(after)).alias("category"), F.lit(1).alias("after")))).alias("x")).select("x.*")
+    out = each.groupBy("category").agg(F.count_if(F.col("after") == 0).alias("n_raw"), F.count_if(F.col("after") == 1).alias("n_processed"))
+    return out.withColumn("delta", F.col("n_processed") - F.col("n_raw"))
 
 
 def category(m: Column) -> Column:
@@ -129,6 +200,24 @@ def edit_summary(rows: DataFrame, metrics: str = "m") -> DataFrame:
     )
 
 
+def rendered_sample(conversations: Column) -> Column:
+    """A chat template: each turn between marks, with its role."""
+    turn = lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["content"], F.lit("<|im_end|>\n"))
+    return F.array_join(F.transform(conversations, turn), "")
+
+
+def token_stats(sampled: DataFrame, tokens: Callable[[Column], Column], limit: int) -> DataFrame:
+    """One row a stage: count, p50, p90, p95, p99 (interpolated) and longest of the rendered samples' lengths in tokens, and how many exceed limit.
+
+    tokens: from a text Column to its number of tokens; the tokenizer is the caller's.
+    """
+    n = tokens(rendered_sample(F.col("conversations"))).cast("long")
+    at = lambda share: F.expr(f"percentile(tokens, {share})")
+    return sampled.select("stage", n.alias("tokens")).groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("tokens").alias("most"), F.count_if(F.col("tokens") > limit).alias("over"),
+    )
+
+
 def multiplier(operations: Column) -> Column:
     """Copies of a training row: many for those without edits and for those with many."""
     return F.when((operations >= 1) & (operations <= 3), 2).otherwise(3)

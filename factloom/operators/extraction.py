@@ -37,8 +37,9 @@ def pending(pipeline: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def record(pipeline: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Sets results (id, step, value) in their stages; the row is done with its last stage. Attempts stay as they are."""
-    of = F.map_from_entries(F.collect_list(F.struct("step", "value")))
+    """Sets results (id, step, value) in their stages; the row is done with its last stage. Attempts stay as they are. A step that there isn't is an error."""
+    step = F.when(F.col("step").isin(STAGES), F.col("step")).otherwise(F.raise_error(F.concat(F.lit("unknown step: "), F.coalesce("step", F.lit("null")))))
+    of = F.map_from_entries(F.collect_list(F.struct(step.alias("step"), "value")))
     joined = pipeline.join(results.groupBy("id").agg(of.alias("got")), "id", "left")
     hit = F.col("got").isNotNull()
     stage = {s: F.coalesce(F.try_element_at("got", F.lit(s)), F.col(s)) for s in STAGES}
@@ -98,22 +99,25 @@ def asked(rows: DataFrame, text: str, out: str, model_factory: Callable[[], Text
     return rows.mapInPandas(run, schema)
 
 
-def run_pipeline(pipeline: DataFrame, rewrite_factories: list[Callable[[], TextModel]], extract_factory: Callable[[], TextModel], now: Column) -> DataFrame:
-    """All stages of all pending rows, each from its first missing one; a row stops at a failed stage, which counts one attempt.
+def run_pipeline(pipeline: DataFrame, rewrite_factories: list[Callable[[], TextModel]], extract_factory: Callable[[], TextModel], now: Column, *, flatten_factory: Callable[[], TextModel] | None = None, limit: int | None = None) -> DataFrame:
+    """All stages of all pending rows (or of the first `limit`), each from its first missing one; a row stops at a failed stage, which counts one attempt.
 
-    A stage that was done is not asked again. The third stage passes its text on.
+    A stage that was done is not asked again. Replies count without white space at their ends. The third stage passes its text on unless there is a model for it.
     """
-    keep = pipeline.join(pending(pipeline).select("id"), "id", "left_anti")
-    rows, error = pending(pipeline), F.lit(None).cast("string")
-    rows = rows.withColumn("problem", error)
+    chosen = pending(pipeline, limit).select("id")
+    keep, rows = pipeline.join(chosen, "id", "left_anti"), pipeline.join(chosen, "id", "left_semi")
+    rows = rows.withColumn("problem", F.lit(None).cast("string"))
     before = "original_text"
-    for stage, factory in zip(STAGES[:2], rewrite_factories, strict=True):
+    for stage, factory in zip(STAGES[:3], [*rewrite_factories, flatten_factory], strict=True):
+        if factory is None:
+            rows = rows.withColumn(stage, F.when(F.col("problem").isNull(), F.coalesce(F.col(stage), F.col(before))).otherwise(F.col(stage)))
+            before = stage
+            continue
         rows = rows.withColumn("todo", F.when(F.col(stage).isNull() & F.col("problem").isNull(), F.col(before)))
-        rows = asked(rows, "todo", "reply", factory)
+        rows = asked(rows, "todo", "reply", factory).withColumn("reply", strip(F.col("reply")))
         bad = F.col("todo").isNotNull() & is_collapsed(F.col(before), F.col("reply"))
         rows = rows.withColumns({stage: F.when(F.col("todo").isNotNull() & ~bad, F.col("reply")).otherwise(F.col(stage)), "problem": F.when(bad, F.lit(f"{stage}: rewrite collapsed")).otherwise(F.col("problem"))}).drop("todo", "reply")
         before = stage
-    rows = rows.withColumn(STAGES[2], F.when(F.col("problem").isNull(), F.coalesce(F.col(STAGES[2]), F.col(STAGES[1]))).otherwise(F.col(STAGES[2])))
     rows = rows.withColumn("todo", F.when(F.col("problem").isNull(), F.col(STAGES[2])))
     rows = asked(rows, "todo", "reply", extract_factory)
     unread = F.col("todo").isNotNull() & F.from_json("reply", "struct<triplets:array<struct<e1:string>>>")["triplets"].isNull()
@@ -124,3 +128,20 @@ def run_pipeline(pipeline: DataFrame, rewrite_factories: list[Callable[[], TextM
         F.col("problem").alias("error"), F.when(failed, n).otherwise(F.col("attempts")).alias("attempts"), now.alias("updated_at"),
     )
     return keep.unionByName(rows)
+
+
+def run_counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row about a run, from the table before and after it: documents that were pending, completed and failed ones, triplets, rejected rewrites, and calls by stage.
+
+    A rewrite stage was called if it had no result and has one now, or if its rewrite was rejected.
+    """
+    old = pending(before).select("id", *[F.col(s).isNull().alias(f"lacked_{s}") for s in STAGES])
+    rows = old.join(after, "id")
+    error = F.coalesce("error", F.lit(""))
+    called = {s: F.col(f"lacked_{s}") & (F.col(s).isNotNull() | error.startswith(s)) for s in STAGES}
+    triplets = F.size(F.from_json(F.col(STAGES[3]), "struct<triplets:array<struct<e1:string>>>")["triplets"])
+    done = F.col("status") == "done"
+    return rows.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(done).alias("completed"), F.count_if(~done).alias("failed"), F.coalesce(F.sum(F.when(done, triplets)), F.lit(0)).cast("long").alias("triplets"),
+        F.count_if(error.endswith("rewrite collapsed")).alias("rejected_rewrites"), *[F.count_if(c).alias(f"calls_{s.split('_')[0]}") for s, c in called.items()],
+    )

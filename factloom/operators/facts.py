@@ -16,12 +16,17 @@ def _field(x: Column, *names: str) -> Column:
     return strip(F.coalesce(*[F.nullif(x[n], F.lit("")) for n in names], F.lit("")))
 
 
+def _type(x: Column, *names: str) -> Column:
+    """The first name's value that isn't empty."""
+    return F.coalesce(*[F.nullif(x[n], F.lit("")) for n in names])
+
+
 def facts_of_records(rows: DataFrame, record: str = "record") -> DataFrame:
     """(doc_id, record) to facts: both names of each field are read, types normalised; records without head or tail go."""
     r = F.col(record)
     out = rows.select(
-        "doc_id", _field(r, "e1", "head").alias("head"), normalize_type(F.coalesce(r["e1_type"], r["head_type"])).alias("head_type"), _field(r, "verb").alias("verb"),
-        _field(r, "e2", "tail").alias("tail"), normalize_type(F.coalesce(r["e2_type"], r["tail_type"])).alias("tail_type"),
+        "doc_id", _field(r, "e1", "head").alias("head"), normalize_type(_type(r, "e1_type", "head_type")).alias("head_type"), _field(r, "verb").alias("verb"),
+        _field(r, "e2", "tail").alias("tail"), normalize_type(_type(r, "e2_type", "tail_type")).alias("tail_type"),
     )
     return out.where("head <> '' AND tail <> ''")
 

@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.text import dot, spaced
-from factloom.operators.facts import SUBSPACES
+from factloom.operators.facts import SUBSPACES, rendered
 from factloom.operators.vectors import nearest
+from factloom.sources.stored import stored
 
 
 @dataclass(frozen=True)
@@ -75,12 +76,17 @@ def requests_of(patterns: DataFrame, queries: DataFrame, config: RetrievalConfig
     return asked.where("text <> ''").withColumn("request_id", F.xxhash64("qid", "pattern_no", "component"))
 
 
+#: What a request may need, and the types that its facts are then joined by.
+NEEDS = {"none": [], "head": ["head_type"], "tail": ["tail_type"], "both": ["head_type", "tail_type"]}
+
+
 def slices_of(postings: DataFrame, vectors: DataFrame) -> DataFrame:
     """For each kind of need, how many facts have each vector: what nearest() scans instead of the facts."""
-    either = lambda keep: [(F.col(c) if c in keep else F.lit("")).alias(c) for c in ("head_type", "tail_type")]
+    finest = stored(postings.groupBy("subspace", "head_type", "tail_type", "vec_id").agg(F.count(F.lit(1)).alias("n")), "counts")
     out = None
-    for need, keep in (("none", ()), ("head", ("head_type",)), ("tail", ("tail_type",)), ("both", ("head_type", "tail_type"))):
-        part = postings.select("subspace", F.lit(need).alias("need"), *either(keep), "vec_id").groupBy("subspace", "need", "head_type", "tail_type", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    for need, keep in NEEDS.items():
+        types = [(F.col(c) if c in keep else F.lit("")).alias(c) for c in NEEDS["both"]]
+        part = finest.select("subspace", F.lit(need).alias("need"), *types, "vec_id", "n").groupBy("subspace", "need", "head_type", "tail_type", "vec_id").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out.join(vectors, "vec_id").select("subspace", "need", "head_type", "tail_type", "vec_id", "n", "vec")
 
@@ -92,22 +98,29 @@ def postings_of(facts: DataFrame, vec_id) -> DataFrame:
     return long.withColumn("vec_id", vec_id(F.col("text"))).drop("text")
 
 
-def top_rows(postings: DataFrame, vectors: DataFrame, requests: DataFrame) -> DataFrame:
+def top_rows(postings: DataFrame, slices: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, fact_id, doc_id, score): each request's k best facts, by score to six digits, then fact_id."""
-    entries = nearest(slices_of(postings, vectors), requests)
-    types = lambda c: (F.col(f"p.{c}") == F.col(f"e.{c}")) | (F.col(f"e.{c}") == "")
-    hits = entries.alias("e").join(postings.alias("p"), (F.col("p.subspace") == F.col("e.subspace")) & (F.col("p.vec_id") == F.col("e.vec_id")) & types("head_type") & types("tail_type"))
+    entries = stored(nearest(slices, requests), "entries")
+    hits = None
+    for need, types in NEEDS.items():  # each by exact keys, so that a frequent vector is dealt out by its types
+        part = entries.where(F.col("need") == need).select("request_id", "k", "score", "subspace", "vec_id", *types).join(postings.select("fact_id", "doc_id", "subspace", "vec_id", *types), ["subspace", "vec_id", *types])
+        part = part.select("request_id", "k", "fact_id", "doc_id", "score")
+        hits = part if hits is None else hits.unionByName(part)
     order = W.partitionBy("request_id").orderBy(F.round("score", 6).desc(), "fact_id")
-    return hits.select("request_id", "k", "p.fact_id", "p.doc_id", "score").withColumn("nth", F.row_number().over(order)).where("nth <= k").select("request_id", "fact_id", "doc_id", "score")
+    return hits.withColumn("nth", F.row_number().over(order)).where("nth <= k").select("request_id", "fact_id", "doc_id", "score")
 
 
 def scored_facts(facts: DataFrame, vectors: DataFrame, vec_id, patterns: DataFrame, queries: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """(qid, pattern_no, shape, label, fact_id, doc_id, score): each pattern's best per_pattern facts."""
-    postings = postings_of(facts, vec_id)
+    """(qid, pattern_no, shape, label, fact_id, doc_id, score): each pattern's best per_pattern facts.
+
+    Postings, slices and requests are computed once and kept in the shared folder.
+    """
+    postings = stored(postings_of(facts, vec_id), "postings")
+    slices = stored(slices_of(postings, vectors), "slices")
     requests = requests_of(patterns, queries, config)
     vector = vectors.select(F.col("vec_id").alias("text_vec"), "vec")
-    requests = requests.withColumn("text_vec", vec_id(F.col("text"))).join(vector, "text_vec").persist()
-    scans = top_rows(postings, vectors, requests.where("role <> 'rescan'"))
+    requests = stored(requests.withColumn("text_vec", vec_id(F.col("text"))).join(vector, "text_vec"), "requests")
+    scans = top_rows(postings, slices, requests.where("role <> 'rescan'"))
     scans = scans.join(requests.select("request_id", "qid", "pattern_no", "role", "component"), "request_id").drop("request_id")
     base = scans.where("role IN ('base', 'pair')").select("qid", "pattern_no", "fact_id", "doc_id", "score")
     sides = scans.where("role = 'side'").groupBy("qid", "pattern_no", "fact_id", "doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
@@ -162,3 +175,14 @@ def rendered_hits(documents: DataFrame, facts: DataFrame, n_facts: int = 3) -> D
     joined = shown.select("qid", "rank", "doc_id", "score", "n_facts", F.col("f.fact_id").alias("fact_id"), F.col("f.score").alias("fact_score"))
     listed = joined.join(text, "fact_id").groupBy("qid", "rank", "doc_id", "score", "n_facts").agg(F.array_sort(F.collect_list(F.struct((-F.round("fact_score", 6)).alias("by"), "fact_id", "fact"))).alias("listed"))
     return listed.select("qid", F.col("rank").cast("long").alias("rank"), F.to_json(F.struct("rank", "doc_id", F.round("score", 6).alias("score"), F.col("listed.fact").alias("facts"), (F.col("n_facts") - F.size("listed")).alias("more"))).alias("json"))
+
+
+def explained(documents: DataFrame, facts: DataFrame, n_facts: int = 3) -> DataFrame:
+    """(qid, doc_id, explanation): a line for the document, one for each of its best facts with the pattern that found it, and how many more there are."""
+    shown = documents.select("qid", "doc_id", "score", "n_facts", F.posexplode(F.slice("facts", 1, n_facts)).alias("place", "f"))
+    text = facts.select("fact_id", rendered().alias("fact"))
+    line = F.concat(F.format_string("    [%.3f] ", F.round("f.score", 6)), F.col("fact"), F.lit("   <- "), F.col("f.label"))
+    lines = shown.withColumn("fact_id", F.col("f.fact_id")).join(text, "fact_id").groupBy("qid", "doc_id", "score", "n_facts").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    head = F.concat(F.col("doc_id").cast("string"), F.format_string("  score=%.4f", F.round("score", 6)))
+    more = F.when(F.col("n_facts") > n_facts, F.concat(F.lit("    ... and "), (F.col("n_facts") - n_facts).cast("string"), F.lit(" more facts")))
+    return lines.select("qid", "doc_id", F.concat_ws("\n", head, F.array_join("lines", "\n"), more).alias("explanation"))

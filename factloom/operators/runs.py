@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import alnum_tokens
 from factloom.operators.vectors import nearest
+from factloom.sources.stored import stored
 
 
 def ranked(run: DataFrame, depth: int | None = None) -> DataFrame:
@@ -17,11 +18,16 @@ def ranked(run: DataFrame, depth: int | None = None) -> DataFrame:
     return out if depth is None else out.where(F.col("rank") <= depth)
 
 
-def bm25_idf(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): negative idf values are replaced by epsilon times the mean of all."""
-    n = docs.count()
-    df = docs.select("doc_id", F.explode(F.array_distinct(alnum_tokens(F.col("text"), 2))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, w): each document's tokens, computed once and kept in the shared folder."""
+    return stored(docs.select("doc_id", alnum_tokens(F.col("text"), 2).alias("w")), "tokens")
+
+
+def bm25_idf(tokens: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) of tokenised(): negative idf values are replaced by epsilon times the mean of all."""
+    n = tokens.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -31,13 +37,13 @@ def bm25(docs: DataFrame, queries: DataFrame, *, depth: int = 100, k1: float = 1
 
     Document tokens join the queries' terms before they are counted, so only terms that some query has are shuffled.
     """
-    asked = queries.select("qid", F.explode(alnum_tokens(F.col("text"), 2)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    lengths = docs.select("doc_id", F.size(alnum_tokens(F.col("text"), 2)).alias("length"))
-    mean = lengths.agg(F.avg("length").alias("mean_length"))
-    terms = docs.select("doc_id", F.explode(alnum_tokens(F.col("text"), 2)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    saturated = tf.join(lengths, "doc_id").join(F.broadcast(mean)).withColumn("w", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))))
-    scored = saturated.join(bm25_idf(docs), "term").join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * F.col("w")).alias("score"))
+    tokens = tokenised(docs)
+    asked = stored(queries.select("qid", F.explode(alnum_tokens(F.col("text"), 2)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    mean = tokens.agg(F.avg(F.size("w")).alias("mean_length"))
+    terms = tokens.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = terms.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    saturated = tf.join(F.broadcast(mean)).withColumn("w", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))))
+    scored = saturated.join(bm25_idf(tokens), "term").join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * F.col("w")).alias("score"))
     return ranked(scored, depth).where("score > 0")
 
 

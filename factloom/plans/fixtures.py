@@ -86,7 +86,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extraction row for each document, at stages that its hash picks; payloads hold a record for each run of five tokens."""
+    """An extraction row for each document, at stages that its hash picks; payloads hold a record for each run of five tokens, with a second name for the head's type."""
     d = documents(spark, sf_dir).select("doc_id", "text", h(F.col("doc_id").cast("string")).alias("x"), alnum_tokens(F.col("text")).alias("w"))
     k = F.col("x") % 10
 
@@ -94,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         word = lambda i, j: F.get(w, i * 5 + j)
         head, tail = F.concat_ws(" ", word(i, 0), word(i, 1)), F.concat_ws(" ", word(i, 3), word(i, 4))
         return F.format_string(
-            '{"e1":" %s","e1_type":"%s","verb":"%s","e2":"%s","e2_type":"%s"}', head, chosen(RAW_TYPES, h(head)), word(i, 2), F.when(h(tail) % 17 == 0, " ").otherwise(tail), chosen(RAW_TYPES, h(tail)),
+            '{"e1":" %s","e1_type":"%s","verb":"%s","e2":"%s","e2_type":"%s","head_type":"drug"}', head, chosen(RAW_TYPES, h(head)), word(i, 2), F.when(h(tail) % 17 == 0, " ").otherwise(tail), chosen(RAW_TYPES, h(tail)),
         )
 
     def of(w: Column) -> Column:
@@ -160,4 +160,4 @@ pipeline AS (SELECT id, doc_id, k, x, text AS original_text, CASE WHEN k >= 1 TH
   CASE WHEN k >= 4 THEN 'done' WHEN k = 3 THEN 'failed' WHEN k >= 1 THEN 'in_progress' ELSE 'pending' END AS status,
   CASE WHEN k = 3 THEN 'timed out' END AS error, CAST(x % 4 AS INTEGER) AS attempts, CASE WHEN k > 0 THEN CAST(x % 1000 AS DOUBLE) END AS updated_at, w FROM dk),
 recs AS (SELECT id, doc_id, k, i, {_rec} FROM (SELECT id, doc_id, k, w, unnest(range(0, len(w) // 5)) AS i FROM pipeline WHERE k BETWEEN 4 AND 8)),
-records AS (SELECT *, CASE WHEN {sql_h("tail0")} % 17 = 0 THEN '' ELSE tail0 END AS tail, {sql_type(RAW_TYPES, "head")} AS raw_head, {sql_type(RAW_TYPES, "tail0")} AS raw_tail FROM recs)"""
+records AS (SELECT *, CASE WHEN {sql_h("tail0")} % 17 = 0 THEN '' ELSE tail0 END AS tail, coalesce(nullif({sql_type(RAW_TYPES, "head")}, ''), 'drug') AS raw_head, {sql_type(RAW_TYPES, "tail0")} AS raw_tail FROM recs)"""

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.vocab import EXTRACTION_TYPES, QUERY_TYPES, TYPE_ALIASES, WILDCARDS, normalize_type, slot_kind
-from factloom.operators import distill, extraction, metrics, patterns, retrieve, runs, vectors
+from factloom.operators import chat, distill, extraction, metrics, patterns, retrieve, runs, vectors
 from factloom.operators import facts as fact_ops
 from factloom.plans import fixtures as fx
-from factloom.sources import readers
+from factloom.sources import readers, sinks
+from factloom.sources.stored import shared_dir, stored
 
 FLAGSHIP = "search"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,10 +322,26 @@ def top_documents(spark, sf):
     return docs.select("qid", long("rank"), "doc_id", F.round("score", 5).alias("score"))
 
 
-@query()
+_TEN = """, docs AS (SELECT qid, doc_id, max(score) AS score, count(*) AS n_facts, row_number() OVER (PARTITION BY qid ORDER BY round(max(score), 6) DESC, doc_id) AS rank FROM best GROUP BY qid, doc_id QUALIFY rank <= 10),
+told AS (SELECT d.qid, d.doc_id, d.rank, d.score, d.n_facts, n.nth, n.score AS fact_score, n.shape, n.pattern_no, '(' || f.head || ' : ' || f.head_type || ') -[' || f.verb || ']-> (' || f.tail || ' : ' || f.tail_type || ')' AS fact
+  FROM docs d JOIN nth n ON n.qid = d.qid AND n.doc_id = d.doc_id AND n.nth <= 3 JOIN facts f ON f.fact_id = n.fact_id)"""
+
+
+@query(_SCORED + _TEN + """SELECT qid, CAST(rank AS BIGINT) AS rank, doc_id, CAST(n_facts - count(*) AS BIGINT) AS more, string_agg(fact, ' | ' ORDER BY nth) AS facts FROM told GROUP BY qid, rank, doc_id, n_facts""")
 def search_json(spark, sf):
+    """Read back from the JSON lines."""
     docs = retrieve.to_documents(retrieve.best_per_fact(_scored(spark, sf)), "max", 10)
-    return retrieve.rendered_hits(docs, fx.facts(spark, sf))
+    lines = retrieve.rendered_hits(docs, fx.facts(spark, sf))
+    read = lines.select("qid", "rank", F.from_json("json", "struct<doc_id:long,facts:array<string>,more:long>").alias("j"))
+    return read.select("qid", "rank", "j.doc_id", "j.more", F.array_join("j.facts", " | ").alias("facts"))
+
+
+@query(_SCORED + _TEN + """SELECT qid, doc_id, CAST(count(*) + 1 + CAST(max(n_facts) > 3 AS INT) AS BIGINT) AS lines, string_agg(fact, chr(10) ORDER BY nth) AS facts FROM told GROUP BY qid, doc_id""")
+def explain_hits(spark, sf):
+    docs = retrieve.to_documents(retrieve.best_per_fact(_scored(spark, sf)), "max", 10)
+    facts = F.transform(F.filter("l", lambda x: x.startswith("    [")), lambda x: F.regexp_extract(x, r"^    \[-?[\d.]+\] (.*)   <- .*$", 1))
+    told = retrieve.explained(docs, fx.facts(spark, sf)).withColumn("l", F.split("explanation", "\n"))
+    return told.select("qid", "doc_id", (1 + F.size(F.filter("l", lambda x: x.startswith("    ")))).cast("long").alias("lines"), F.array_join(facts, "\n").alias("facts"))
 
 
 # Runs and metrics.
@@ -371,7 +389,7 @@ def bm25(spark, sf):
 
 @query(f"WITH {_BM25} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM bidf")
 def bm25_idf(spark, sf):
-    return runs.bm25_idf(fx.documents(spark, sf)).select("term", "df", six("idf"))
+    return runs.bm25_idf(runs.tokenised(fx.documents(spark, sf))).select("term", "df", six("idf"))
 
 
 @query(f"WITH {_DENSE} SELECT qid, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 5) AS score FROM dense")
@@ -422,7 +440,7 @@ _METRICS = [f"{m}_{k}" for m in ("ndcg", "p", "recall") for k in metrics.CUTS]
 
 
 def _per_query(spark, sf):
-    return metrics.per_query(_runs(spark, sf), fx.qrels(spark, sf))
+    return metrics.per_query(stored(_runs(spark, sf), "runs"), fx.qrels(spark, sf), systems=["bm25", "dense"])
 
 
 def _measure(name: str, columns: list[str]) -> None:
@@ -448,10 +466,39 @@ def win_loss_tie(spark, sf):
     return r.select("n_queries", six("mean_a"), six("mean_b"), six("diff"), "wins", "losses", "ties")
 
 
-@query()
+_PAIRS = [("bm25 - dense", "bm25", "dense", "ndcg_10"), ("dense - bm25, ap", "dense", "bm25", "ap"), ("soft_kg - bm25", "soft_kg", "bm25", "ndcg_10")]
+
+
+def _comparisons(spark, sf):
+    """Fixed comparisons; that with a system which has no run falls away."""
+    return metrics.compared(_per_query(spark, sf), spark.createDataFrame(_PAIRS, "comparison string, system_a string, system_b string, metric string"))
+
+
+_COMPARED = f"""WITH {_PER_QUERY}, cmp AS (SELECT 'bm25 - dense' AS comparison, x.qid, x.ndcg_10 AS a, y.ndcg_10 AS b FROM pq x JOIN pq y USING (qid) WHERE x.system = 'bm25' AND y.system = 'dense'
+ UNION ALL SELECT 'dense - bm25, ap', x.qid, x.ap, y.ap FROM pq x JOIN pq y USING (qid) WHERE x.system = 'dense' AND y.system = 'bm25')"""
+
+
+@query(f"{_COMPARED} SELECT comparison, qid, round(a, 6) AS a, round(b, 6) AS b FROM cmp")
+def comparisons(spark, sf):
+    return _comparisons(spark, sf).select("comparison", "qid", six("a"), six("b"))
+
+
+_DRAWS = 2000
+
+
+@query(f"""{_COMPARED}, dl AS MATERIALIZED (SELECT comparison, list(a - b ORDER BY qid) AS l, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS diff, count(*) FILTER (a - b > 1e-12) AS wins, count(*) FILTER (a - b < -1e-12) AS losses, count(*) FILTER (abs(a - b) <= 1e-12) AS ties FROM cmp GROUP BY comparison),
+ds AS (SELECT comparison, diff, r, avg(l[CAST(('0x' || substr(md5(r || '-' || j || '-12345'), 1, 8)) AS BIGINT) % n + 1]) AS m FROM (SELECT comparison, l, n, diff, r, unnest(range(n)) AS j FROM (SELECT *, unnest(range({_DRAWS})) AS r FROM dl)) GROUP BY comparison, diff, r),
+dm AS (SELECT comparison, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, avg(CAST(abs(m - diff) >= abs(diff) - 1e-12 AS DOUBLE)) AS p FROM ds GROUP BY comparison)
+SELECT comparison, CAST(n AS BIGINT) AS n_queries, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(diff, 6) AS diff, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(ties AS BIGINT) AS ties, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM dl JOIN dm USING (comparison)""")
 def bootstrap(spark, sf):
-    pairs = metrics.paired(_per_query(spark, sf), "bm25", "dense", "ndcg_10")
-    return metrics.bootstrap(pairs.withColumn("comparison", F.lit("bm25 - dense")))
+    """With 2,000 resamples here, for the SQL's sake; 10,000 are the operator's own."""
+    r = metrics.bootstrap(_comparisons(spark, sf), resamples=_DRAWS)
+    return r.select("comparison", "n_queries", *map(six, ("mean_a", "mean_b", "diff")), "wins", "losses", "ties", *map(six, ("ci_low", "ci_high", "p")), "stars")
+
+
+@query(f"WITH {fx.SQL_FACTS} SELECT 'full' AS frame, doc_id FROM documents UNION ALL SELECT DISTINCT 'restricted', doc_id FROM facts")
+def frames(spark, sf):
+    return metrics.framed(fx.documents(spark, sf).select("doc_id"), fx.facts(spark, sf))
 
 
 # Extraction.
@@ -522,12 +569,42 @@ def enqueue(spark, sf):
     return extraction.enqueue(p, units).select("id", "status", "attempts")
 
 
-@query()
+def _stand_ins():
+    rewrite = lambda: lambda texts: [f" {t}\n" for t in texts]
+    extract = lambda: lambda texts: ['{"triplets":[{"e1":"%s","e1_type":"food","verb":"precedes","e2":"%s","e2_type":"DRUG"}]}' % (t.split()[0].strip('"\\'), t.split()[-1].strip('"\\')) if t.split() else "none" for t in texts]
+    return rewrite, extract
+
+
+@query(rf"""{_PIPE} SELECT id, CASE WHEN has4 OR status = 'failed' THEN status ELSE 'done' END AS status, attempts, CASE WHEN has4 OR status = 'failed' THEN error END AS error,
+ CASE WHEN s1 IS NULL THEN md5(regexp_replace(original_text, '^\s+|\s+$', '', 'g')) ELSE md5(s1) END AS step1, CASE WHEN status = 'failed' OR s2 IS NOT NULL THEN md5(s2) WHEN s1 IS NULL THEN md5(regexp_replace(original_text, '^\s+|\s+$', '', 'g')) ELSE md5(regexp_replace(s1, '^\s+|\s+$', '', 'g')) END AS step2 FROM pipeline""")
 def pipeline_run(spark, sf):
-    """With stand-ins for the models: rewrites pass text on, and the extractor makes a record of the first and last word."""
-    rewrite = lambda: lambda texts: texts
-    extract = lambda: lambda texts: ['{"triplets":[{"e1":"%s","e1_type":"food","verb":"precedes","e2":"%s","e2_type":"DRUG"}]}' % (t.split()[0].strip('"\\'), t.split()[-1].strip('"\\')) for t in texts]
-    return extraction.run_pipeline(fx.pipeline(spark, sf), [rewrite, rewrite], extract, F.lit(9000.0))
+    """With stand-ins for the models: rewrites pass text on with white space around it, and the extractor makes a record of the first and last word."""
+    rewrite, extract = _stand_ins()
+    out = extraction.run_pipeline(fx.pipeline(spark, sf), [rewrite, rewrite], extract, F.lit(9000.0))
+    return out.select("id", "status", "attempts", "error", F.md5("step1_pronoun_resolved").alias("step1"), F.md5("step2_references_resolved").alias("step2"))
+
+
+@query(f"""{_PIPE} SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS completed, CAST(0 AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS triplets, CAST(0 AS BIGINT) AS rejected_rewrites,
+ CAST(count(*) FILTER (s1 IS NULL) AS BIGINT) AS calls_step1, CAST(count(*) FILTER (s2 IS NULL) AS BIGINT) AS calls_step2, CAST(count(*) FILTER (s3 IS NULL) AS BIGINT) AS calls_step3, CAST(count(*) AS BIGINT) AS calls_step4 FROM pipeline WHERE NOT has4 AND status <> 'failed'""")
+def run_counters(spark, sf):
+    rewrite, extract = _stand_ins()
+    before = fx.pipeline(spark, sf)
+    return extraction.run_counters(before, extraction.run_pipeline(before, [rewrite, rewrite], extract, F.lit(9000.0)))
+
+
+@query("SELECT doc_id, greatest(1.0, least(120.0, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 200 AS DOUBLE) ELSE 2.0 * pow(2.0, doc_id % 8) END) * (1 + 0.5 * (2 * ((doc_id % 101) / 100.0) - 1))) AS seconds FROM documents")
+def backoff(spark, sf):
+    d = F.col("doc_id")
+    return fx.documents(spark, sf).select("doc_id", chat.wait_seconds(d % 8, F.when(d % 3 == 0, d % 200), (d % 101) / 100.0).alias("seconds"))
+
+
+@query(f"WITH {fx.SQL_PATTERNS} SELECT item_id AS qid, CAST((SELECT count(*) FROM patterns p WHERE p.qid = item_id) AS BIGINT) AS n FROM benchmark WHERE item_id % 2 = 1")
+def rewrite_questions(spark, sf):
+    """Questions to patterns through a stand-in for the model, for those without a reply in the cache."""
+    replies = fx.replies(spark, sf).join(fx.queries(spark, sf), "qid")
+    cache = replies.where("qid % 2 = 0").select("qid", "reply")
+    new = chat.pattern_replies(replies.select("qid", F.col("reply").alias("text")), cache, lambda: lambda texts: [f"<think>{t}</think> {t}" for t in texts])
+    return new.join(patterns.parse_replies(new).groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 # Distillation.
@@ -550,7 +627,7 @@ def sharegpt(spark, sf):
     return c.select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("rendered"))
 
 
-@query(f"""{_PIPE}, s AS (SELECT unnest(['step1', 'step2', 'step4']) AS stage, unnest([3 + length(original_text) + length(s1), 3 + length(s1) + length(s2), 3 + 43 + length(s3) + 10]) AS chars FROM pipeline WHERE k >= 4),
+@query(f"""{_PIPE}, s AS (SELECT unnest(['step1', 'step2', 'step4']) AS stage, unnest([3 + length(original_text) + length(s1), 3 + length(s1) + length(s2), 3 + {len(distill.REQUEST)} + length(s3) + 10]) AS chars FROM pipeline WHERE k >= 4),
 o AS (SELECT stage, list_sort(list(chars)) AS l FROM s GROUP BY stage) SELECT stage, CAST(len(l) AS BIGINT) AS n, CAST(l[1] AS BIGINT) AS least, CAST(l[len(l) // 2 + 1] AS BIGINT) AS median, CAST(l[CAST(floor(len(l) * 0.9) AS BIGINT) + 1] AS BIGINT) AS p90, CAST(l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] AS BIGINT) AS p99, CAST(l[-1] AS BIGINT) AS most FROM o""")
 def char_stats(spark, sf):
     rows = distill.completed(fx.pipeline(spark, sf)).withColumn("step4_triplets_json", F.lit("0123456789"))
@@ -567,6 +644,12 @@ def _edits(spark, sf):
     return d.withColumn("m", distill.edit_metrics("text", "reference", "prediction"))
 
 
+def _edits_twice(spark, sf):
+    """With the prediction put right in every second document, as post-processing would."""
+    d = stored(_edits(spark, sf), "edits").withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
+    return d.withColumnRenamed("m", "raw").withColumn("processed", distill.edit_metrics("text", "reference", "after"))
+
+
 @query()
 def edit_agg(spark, sf):
     return distill.edit_summary(_edits(spark, sf))
@@ -574,7 +657,61 @@ def edit_agg(spark, sf):
 
 @query()
 def edit_hist(spark, sf):
-    return _edits(spark, sf).groupBy(distill.category(F.col("m")).alias("category")).agg(F.count("*").alias("n"))
+    return distill.category_histogram(stored(_edits_twice(spark, sf), "edits-twice"))
+
+
+@query()
+def edit_delta(spark, sf):
+    return distill.edit_delta(_edits_twice(spark, sf))
+
+
+@query()
+def edit_diag(spark, sf):
+    return distill.edit_diagnostics(_edits(spark, sf), "reference", "prediction").select("doc_id", "kind", "differences")
+
+
+@query()
+def edit_verdict(spark, sf):
+    return distill.verdict(distill.edit_summary(_edits(spark, sf)))
+
+
+@query(f"""{_PIPE}, r AS (SELECT unnest([94 + length(original_text) + length(s1), 94 + length(s1) + length(s2), 94 + 43 + length(s3) + 10]) AS chars, unnest(['step1', 'step2', 'step4']) AS stage FROM pipeline WHERE k >= 4)
+SELECT stage, CAST(count(*) AS BIGINT) AS n, quantile_cont(chars, 0.5) AS p50, quantile_cont(chars, 0.9) AS p90, quantile_cont(chars, 0.95) AS p95, quantile_cont(chars, 0.99) AS p99, CAST(max(chars) AS BIGINT) AS most, CAST(count(*) FILTER (chars > 2000) AS BIGINT) AS over FROM r GROUP BY stage""")
+def token_stats(spark, sf):
+    """With characters for tokens: the tokenizer is the caller's."""
+    rows = distill.completed(fx.pipeline(spark, sf)).withColumn("step4_triplets_json", F.lit("0123456789"))
+    return distill.token_stats(distill.samples(rows, {"step1": "one", "step2": "two", "step4": "six"}, "x" * 43), F.char_length, 2000)
+
+
+@query(f"""{_PIPE}, c AS (SELECT id, s3 IS NOT NULL AND trim(s3) <> '' AND k IN (4, 6, 8) AND len(w) >= 5 AND trim(original_text) <> '' AND trim(s1) <> '' AND trim(s2) <> '' AS ok FROM pipeline)
+SELECT CAST(count(*) FILTER (ok) AS BIGINT) AS n_valid, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS n_invalid, CAST(count(*) FILTER (ok AND id NOT LIKE '%7') AS BIGINT) AS n_train, CAST(count(*) FILTER (ok AND id LIKE '%7') AS BIGINT) AS n_eval FROM c""")
+def dataset_meta(spark, sf):
+    return sinks.dataset_meta(fx.pipeline(spark, sf).select(distill.reason().alias("reason"), F.col("id").endswith("7").alias("is_eval")))
+
+
+@query("SELECT vec_id, 'retrieval_passage_' || (CASE WHEN vec_id % 2 = 0 THEN 32 ELSE 512 END) AS ns, substr(sha1('m|retrieval.passage|' || (CASE WHEN vec_id % 2 = 0 THEN 32 ELSE 512 END)), 1, 12) AS fingerprint FROM embeddings")
+def encoder_roles(spark, sf):
+    """Texts encoded as nodes and as documents, by a stand-in for the encoder."""
+    texts = fx.vectors(spark, sf).select("vec_id", F.col("vec_id").cast("string").alias("text"))
+    encoder_of = lambda role: lambda: lambda batch: np.ones((len(batch), 2))
+    parts = [vectors.encoded_as(role, texts.where(F.col("vec_id") % 2 == k), encoder_of, "m") for k, role in enumerate((vectors.NODES, vectors.DOCUMENTS))]
+    return parts[0].unionByName(parts[1]).select(F.col("text").cast("long").alias("vec_id"), "ns", "fingerprint")
+
+
+@query(f"WITH {fx.SQL_FACTS} SELECT fact_id, doc_id, head, verb, tail FROM facts WHERE fact_id % 50 = 0")
+def graph_roundtrip(spark, sf):
+    """Facts and vectors of their texts, written as a graph and opened again."""
+    facts = fx.facts(spark, sf).where("fact_id % 50 = 0")
+    texts = fact_ops.long_subspaces(facts.drop("pair", "full")).select("text").distinct()
+    path = shared_dir(spark, "graph")
+    sinks.write_facts(facts, texts.select("text", F.array(F.lit(1.0)).alias("vec")), path)
+    return readers.read_facts(spark, path).select("fact_id", "doc_id", "head", "verb", "tail")
+
+
+@query("SELECT DISTINCT l.doc_id, d.source AS title FROM labels l LEFT JOIN documents d USING (doc_id)")
+def title_lookup(spark, sf):
+    hits = fx.table(spark, sf, "labels").select("doc_id").distinct()
+    return readers.titles(hits, fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title")))
 
 
 @query()

@@ -31,18 +31,31 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qrels(lines: DataFrame) -> DataFrame:
-    """(line_no, value) to (qid, doc_id, grade): the first line is a header if it has the word query; of repeated pairs the last counts."""
-    rows = lines.where(~((F.col("line_no") == 0) & F.lower("value").contains("query"))).withColumn("f", F.split("value", "\t")).where("size(f) >= 3")
+    """(line_no, value) to (qid, doc_id, grade): the first line is a header if it has the word query; of repeated pairs the last counts. line_no: anything that orders lines."""
+    first = lines.agg(F.min("line_no").alias("first_line"))
+    rows = lines.join(F.broadcast(first)).where(~((F.col("line_no") == F.col("first_line")) & F.lower("value").contains("query"))).withColumn("f", F.split("value", "\t")).where("size(f) >= 3")
     pairs = rows.select("line_no", F.get("f", 0).alias("qid"), F.get("f", 1).alias("doc_id"), F.get("f", 2).cast("int").alias("grade"))
     return pairs.groupBy("qid", "doc_id").agg(F.max_by("grade", "line_no").alias("grade"))
 
 
-def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Of a tab-separated file: lines are numbered by file position."""
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line_no"))
+def read_qrels(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Of a tab-separated file, or, with a split, of path/qrel_<split>.tsv or else path/qrels/<split>.tsv.
+
+    Lines go by their place in the file: where their part of the file starts, then as they come in it.
+    """
+    if split is not None:
+        jvm = spark.sparkContext._jvm
+        own = jvm.org.apache.hadoop.fs.Path(f"{path}/qrel_{split}.tsv")
+        path = own.toString() if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own) else f"{path}/qrels/{split}.tsv"
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"))
     return qrels(lines)
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Training samples as write_samples leaves them: (stage, is_eval, conversations)."""
+    return spark.read.schema("conversations array<struct<role:string,content:string>>, stage string, is_eval boolean").json(path)
+
+
 def read_extraction(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 

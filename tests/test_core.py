@@ -1,9 +1,15 @@
+import json
+import random
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
+
 import pytest
 
 import __spark_entry__ as entry
 from factloom.functions import text as tx
+from factloom.functions.prompts import Prompts
 from factloom.functions.vocab import EXTRACTION_TYPES, TYPE_ALIASES, normalize_type, slot_kind
-from factloom.operators import distill, extraction, metrics, patterns, retrieve
+from factloom.operators import chat, distill, extraction, metrics, patterns, retrieve, vectors
 from factloom.sources import readers
 from pyspark.sql import functions as F
 
@@ -97,3 +103,148 @@ def test_edits(spark):
     rows = spark.createDataFrame([("he ran far", "Bob ran far", "Bob ran far"), ("a b", "a b", "a c"), ("a b c", "x b c", "a b c new")], "s string, r string, p string")
     m = rows.select(distill.edit_metrics("s", "r", "p").alias("m"))
     assert [r[0] for r in m.select(distill.category(F.col("m"))).collect()] == ["EXACT", "HALLUCINATION", "MISSED ALL"]
+
+
+def test_replies_are_stripped_before_they_count(spark):
+    p = extraction.enqueue(spark.createDataFrame([], extraction.SCHEMA), spark.createDataFrame([("a", "ten signs.")], "id string, original_text string"))
+    blanks, extract = (lambda: lambda ts: [" " * 15 for _ in ts]), (lambda: lambda ts: ['{"triplets":[]}'] * len(ts))
+    got = extraction.run_pipeline(p, [blanks, blanks], extract, F.lit(1.0)).first()
+    assert got.status == "pending" and got.step1_pronoun_resolved is None and "collapsed" in got.error
+    padded = lambda: lambda ts: [f"\n {t} " for t in ts]
+    got = extraction.run_pipeline(p, [padded, padded], extract, F.lit(1.0), flatten_factory=lambda: lambda ts: [t + " It is flat." for t in ts]).first()
+    assert (got.status, got.step2_references_resolved, got.step3_flattened) == ("done", "ten signs.", "ten signs. It is flat.")
+
+
+def test_the_second_name_of_a_type_counts_where_the_first_is_empty(spark):
+    from factloom.operators import facts
+
+    rows = spark.createDataFrame([("d", '[{"e1":"a","e1_type":"","head_type":"FOOD","verb":"v","e2":"b","tail_type":"drug"}]')], "doc_id string, p string")
+    got = facts.facts_of_records(rows.select("doc_id", F.explode(facts.payload_records(F.col("p"))).alias("record"))).first()
+    assert (got.head_type, got.tail_type) == ("FOOD", normalize_drug(spark))
+
+
+def normalize_drug(spark):
+    return one(spark, normalize_type(F.col("x")), x="drug")
+
+
+def test_unknown_steps_are_an_error(spark):
+    p = extraction.enqueue(spark.createDataFrame([], extraction.SCHEMA), spark.createDataFrame([("a", "text")], "id string, original_text string"))
+    with pytest.raises(Exception, match="unknown step"):
+        extraction.record(p, spark.createDataFrame([("a", "step9", "x")], "id string, step string, value string"), F.lit(1.0)).collect()
+
+
+def test_limit_takes_the_rows_that_wait_longest(spark):
+    rows = [(f"u{k}", "some text", None, None, None, None, "pending", None, 0, None if k == 3 else float(k)) for k in range(6)]
+    ok, extract = (lambda: lambda ts: ts), (lambda: lambda ts: ['{"triplets":[]}'] * len(ts))
+    got = extraction.run_pipeline(spark.createDataFrame(rows, extraction.SCHEMA), [ok, ok], extract, F.lit(9.0), limit=2).where("status = 'done'").collect()
+    assert {r.id for r in got} == {"u0", "u3"}
+
+
+def test_repeated_calls():
+    rule, waits = chat.Retries(tries=4), []
+    answers = iter([chat.Busy("slow", 7.0), RuntimeError("line"), {}, {"triplets": []}])
+
+    def call():
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert chat.persistent(call, rule, keep_empty=False, sleep=waits.append, draw=lambda: 0.5) == {"triplets": []}
+    assert waits == [7.0, 4.0, 3.0]
+    assert rule.wait(20, None, 1.0) == 180 and rule.wait(0, 0.0, 0.0) == 1
+    calls = []
+    with pytest.raises(chat.GaveUp):
+        chat.persistent(lambda: calls.append(1) or 1 / 0, rule, sleep=waits.append)
+    assert len(calls) == 4
+    with pytest.raises(chat.Refused):
+        chat.persistent(lambda: (_ for _ in ()).throw(chat.Refused("no")), rule, sleep=waits.append)
+
+
+def test_an_endpoint(spark):
+    class Service(BaseHTTPRequestHandler):
+        seen = []
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][1]["content"]
+            self.seen.append(text)
+            if text == "bad" or text == "busy" and self.seen.count("busy") < 2:
+                self.send_response(400 if text == "bad" else 503)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                return
+            arguments = {"function": {"arguments": json.dumps({"triplets": [{"e1": text}]})}}
+            message = {"content": None, "tool_calls": [arguments]} if "tools" in body else {"content": f" {text}! "}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": message}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    endpoint, rule = chat.Endpoint(f"http://127.0.0.1:{server.server_port}", "m", "k"), chat.Retries(tries=3, least=0.01)
+    rows = spark.createDataFrame([("good",), ("bad",), ("busy",), (None,)], "text string").coalesce(1)
+    got = {r.text: r.reply for r in extraction.asked(rows, "text", "reply", chat.chat_model(endpoint, "s", rule)).collect()}
+    assert got == {"good": " good! ", "bad": None, "busy": " busy! ", None: None}
+    got = {r.text: r.reply for r in extraction.asked(rows, "text", "reply", chat.tool_model(endpoint, "s", Prompts().tool, rule)).collect()}
+    assert json.loads(got["good"]) == {"triplets": [{"e1": "good"}]} and got["bad"] is None
+    server.shutdown()
+
+
+def test_replies_are_kept_block_by_block(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    spark.createDataFrame([(1, "MEM(a ^ b ^ c)")], "qid long, reply string").write.parquet(path)
+    queries = spark.createDataFrame([(k, f"q{k}") for k in range(7)], "qid long, text string")
+    chat.write_through(queries, path, lambda: lambda ts: [None if t == "q2" else f"<think>x</think> {t} " for t in ts], block=3)
+    got = {r.qid: r.reply for r in spark.read.parquet(path).collect()}
+    assert got == {1: "MEM(a ^ b ^ c)"} | {k: f"q{k}" for k in (0, 3, 4, 5, 6)}
+
+
+def test_qrels_files(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "qrels" / "dev.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"q{k % 50}\td\t{k}\n" for k in range(5000)))
+    (tmp_path / "qrel_test.tsv").write_text("q\td\t1\n")
+    (tmp_path / "qrels" / "test.tsv").write_text("q\td\t2\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits of one file
+    try:
+        got = {r.qid: r.grade for r in readers.read_qrels(spark, str(tmp_path), "dev").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"q{k}": 4950 + k for k in range(50)}
+    assert readers.read_qrels(spark, str(tmp_path), "test").first().grade == 1
+
+
+def test_nearest_keeps_ties_and_counts(spark):
+    r = random.Random(2)
+    v = [[r.gauss(0, 1) for _ in range(4)] for _ in range(60)]
+    entries = [("text", "none", "", "", k, 1 + k % 3, v[k % 40]) for k in range(60)]  # some vectors twice: ties
+    slices = spark.createDataFrame(entries, "subspace string, need string, head_type string, tail_type string, vec_id long, n long, vec array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, "text", "none", "", "", 5 + q, v[q]) for q in range(6)], "request_id long, subspace string, need string, head_type string, tail_type string, k int, vec array<double>")
+    got = {}
+    for x in vectors.nearest(slices, asked).collect():
+        got.setdefault(x.request_id, set()).add(x.vec_id)
+    for q in range(6):
+        score = {e[4]: round(sum(a * b for a, b in zip(v[q], e[6], strict=True)), 6) for e in entries}
+        need, total = set(), 0
+        for s in sorted(set(score.values()), reverse=True):
+            if total >= 5 + q:
+                break
+            level = {i for i, x in score.items() if x == s}
+            need |= level
+            total += sum(e[5] for e in entries if e[4] in level)
+        assert got[q] == need
+
+
+def test_diagnostics_and_verdict(spark):
+    rows = spark.createDataFrame([("he ran far", "Bob ran far", "Bob ran far"), ("he ran", "Bob ran", "Bob  ran"), ("a b", "a b", "zzzz yyyy xxxx")], "s string, r string, p string")
+    rows = rows.withColumn("m", distill.edit_metrics("s", "r", "p"))
+    got = {r.s: (r.kind, r.differences) for r in distill.edit_diagnostics(rows, "r", "p").collect()}
+    assert got == {"he ran": ("right words, other form", []), "a b": ("outlier", ["a b -> zzzz yyyy xxxx"])}
+    met = {r.target: r.met for r in distill.verdict(distill.edit_summary(rows)).collect()}
+    assert met["recall"] and not met["hallucinated_share"]
+    log = distill.reason_log(spark.createDataFrame([(f"r{k}", "empty" if k else "ok") for k in range(9)], "id string, reason string"))
+    assert log.splitlines()[0] == "r1: empty" and log.splitlines()[-1] == "and 3 more" and len(log.splitlines()) == 6

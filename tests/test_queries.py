@@ -8,7 +8,7 @@ import pytest
 from factloom.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["search", "per_pattern_cap", "parse_patterns", "shape_summary", "graph_describe", "chunk_text", "bm25", "evaluate_run", "facts_from_records", "validate_rows", "char_stats", "qrels_load", "record"]
+NAMES = ["search", "per_pattern_cap", "parse_patterns", "shape_summary", "graph_describe", "chunk_text", "bm25", "evaluate_run", "facts_from_records", "validate_rows", "char_stats", "qrels_load", "record", "bootstrap", "explain_hits", "pipeline_run", "run_counters", "backoff", "token_stats", "graph_roundtrip", "encoder_roles", "frames"]
 
 
 def tidy(v):
