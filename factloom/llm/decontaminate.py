@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_and_text
+from factloom.llm.common import freed, id_and_text
 from factloom.llm.shingles import text_bytes
 
 SCHEMA = "doc_id long, item_id long, edits long, budget long, start long, length long"
@@ -198,6 +198,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, edit_per
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-        found = texts.mapInArrow(run, SCHEMA)
+        found = texts.mapInArrow(freed(run), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)

@@ -22,24 +22,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_and_text, stored
+from factloom.llm.common import freed, id_and_text, stored
 from factloom.llm.components import components
-from factloom.llm.shingles import mix, shingle_sets
+from factloom.llm.shingles import mix, shingle_sets, stretches, text_bytes
 
-BANDS, ROWS = 48, 10
+#: Bands, and the probability with which a pair that just reaches the threshold may share none of their buckets.
+BANDS, MISS = 48, 1e-4
 _ATTEMPTS = 128
-#: Texts whose sets are held together: bounds what a Python worker holds.
-SLICE = 1000
+#: Bytes of texts (or one text) whose sets are held together: bounds what a Python worker holds.
+SLICE = 4 << 20
 #: Buckets of so many members at most have all pairs between components compared.
 SMALL = 24
 #: In larger ones hubs rotate, until so many rounds in a row bring no new link; an exact join follows.
 QUIET = 2
 
 
+def rows_for(percent: int, bands: int = BANDS, miss: float = MISS) -> int:
+    """The most bins of a band for which a pair of `percent` shares no bucket with a probability of at most `miss` (and 1 if none does)."""
+    able = [r for r in range(1, 33) if (1 - (percent / 100) ** r) ** bands <= miss]
+    return max(able, default=1)
+
+
 class OnePermutation:
     """Band keys of a sorted set of 64-bit hashes."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> None:
+    def __init__(self, bands: int, rows: int, seed: int = 11) -> None:
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         self.edges = np.array([(i << 64) // self.bins for i in range(self.bins)], dtype=np.uint64)
         r = np.random.Generator(np.random.PCG64(seed))
@@ -90,14 +97,23 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "rep_1").alias("a"), F.greatest("rep", "rep_1").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def open_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """candidates() of sets(rep, digest, component, hashes), as pairs of rep."""
+    found = candidates(sets.select(F.struct("rep", "digest").alias("rep"), "component", "hashes"), percent)
+    return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).where("a <> b").distinct()
+
+
+def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Documents with 100 * |intersection| >= percent * |union| of their shingle sets are linked; component_id is the smallest
     doc_id that links reach. Words are runs of characters other than white space, with A-Z as a-z. With fewer than `width` words the whole
-    sequence is the one shingle; a null or empty text has none, and is linked with nothing. Rows that repeat a
-    doc_id are one node. A row without doc_id takes no part and is kept. An empty table gives no rows.
+    sequence is the one shingle; a null or empty text has none, and is linked with nothing. Equal rows are one node, and so are all
+    rows of equal sets; a row that repeats a doc_id with another text goes by its own text, and classes of equal sets that have the same smallest doc_id are one
+    node. A row without doc_id takes no part and is kept. An empty table gives no rows. Very long texts are read whole, each by itself.
+    A pair that reaches `percent` shares none of the `bands` buckets with a probability of at most `miss`; rows_for() chooses their bins.
     """
+    rows = rows_for(percent, bands, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = OnePermutation(bands, rows)
@@ -111,30 +127,35 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
+            for i, j in stretches(text_bytes(batch.column("text"))[1], SLICE):
+                part = batch.slice(i, j - i)
                 found = list(shingle_sets(part.column("text"), width))
                 lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                digests = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary())
                 values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], ["rep", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], ["rep", "digest", "hashes"])
 
     texts = id_and_text(docs)
-    signed = stored(texts.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-signed")
+    signed = stored(texts.mapInArrow(freed(sign), "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-signed")
     able = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets are one class; its representative is its smallest doc_id.
     classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
-    banded = classes.select("rep", F.posexplode("keys").alias("band", "key"))
-    sizes = stored(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("members > 1"), "near-buckets")
-    members = stored(banded.join(sizes, ["band", "key"]).select("band", "key", "members", "hub", "rep"), "near-members")
-    reps = members.select("rep").distinct()
-    hashes = stored(texts.join(reps, texts["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "rep long, hashes array<long>"), "near-sets")
+    banded = classes.select("rep", "digest", F.posexplode("keys").alias("band", "key"))
+    sizes = stored(banded.groupBy("band", "key").agg(F.countDistinct("rep").alias("members"), F.min("rep").alias("hub")).where("members > 1"), "near-buckets")
+    met = stored(banded.join(sizes, ["band", "key"]).select("band", "key", "members", "hub", "rep", "digest"), "near-members")
+    members = met.select("band", "key", "members", "hub", "rep").distinct()
+    reps = stored(met.select("rep", "digest").distinct(), "near-reps")
+    # A doc_id may have several texts, and a text several equal rows: one set for each (doc_id, digest) that stands for a class.
+    of_reps = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(freed(sets), "rep long, digest binary, hashes array<long>")
+    hashes = stored(of_reps.join(reps, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "near-sets")
 
     def confirm(pairs: DataFrame, number: int) -> DataFrame:
         """linked, for each of pairs(a, b)."""
         left, right = hashes.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)
-        return stored(pairs.join(right, "b").join(left, "a").select("a", "b", linked.alias("linked")), f"near-compared-{number}")
+        each = pairs.join(right, "b").join(left, "a").select("a", "b", linked.alias("linked"))
+        return stored(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), f"near-compared-{number}")
 
     star = members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     compared, number, quiet = confirm(star, 0), 0, 0
@@ -166,7 +187,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
     open_reps = stored(placed.join(mixed, ["band", "key"], "left_semi").select("rep", "component").distinct(), "near-open")
     if not open_reps.isEmpty():
-        pairs = stored(candidates(hashes.join(open_reps, "rep"), percent).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-last")
+        pairs = stored(open_pairs(hashes.join(open_reps, "rep"), percent).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-last")
         new = confirm(pairs, number + 1)
         if not new.where("linked").isEmpty():
             component = components(compared.unionByName(new).where("linked").select("a", "b"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from factloom.llm.common import shared_dir, stored
+from factloom.llm.common import freed, shared_dir, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -105,7 +105,7 @@ def write_warc(pages: DataFrame, path: str, *, roll_bytes: int = 64 << 20) -> Da
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in done], pa.string()), "records": pa.array([x[1] for x in done], pa.int64()), "bytes": pa.array([x[2] for x in done], pa.int64())})
 
     manifest = f"{path}-manifest"
-    pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string, records long, bytes long").write.parquet(manifest)
+    pages.select("page_id", "url", "html", "refers_to").mapInArrow(freed(run), "file string, records long, bytes long").write.parquet(manifest)
     return pages.sparkSession.read.parquet(manifest)
 
 

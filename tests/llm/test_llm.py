@@ -261,9 +261,19 @@ def test_secrets(docs):
     for i, t in [(r.doc_id, r.text or "") for r in docs.collect()]:
         found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(rules) for m in p.finditer(t) if ok(m))
         text = ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in found)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
         assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[i].spans.startswith(text)
 
 
+def test_secrets_in_a_long_text(spark):
+    text = "".join(f"é password={k:08d}zz, {k:024x} " for k in range(30_000))  # 60,000 matches in 2 MB
+    want = [(m.start(), "assign", m.end()) for m in re.finditer(r"password=[A-Za-z0-9]+", text)] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{24}", text)]
+    want = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(want))
+    got = secrets.scan(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert (got.n_assign, got.n_hex, got.n_access) == (30_000, 30_000, 0)
+    assert got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_widespread_values_are_no_live_secrets(spark):
     rows = [(k, "ghp_" + "aB3" * 12, "en", f"s{k}") for k in range(5)] + [(9, "ghp_" + "zY7" * 12, "en", "s9")]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -334,3 +344,19 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         rows = spark.read.parquet(f"{sf}/{name}")
     left = {r.doc_id for r in rows.collect()}
     assert 7 in left and 8 not in left and 9 not in left and 10 not in left and 12 not in left, left
+
+
+def test_near_with_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    one, other = " ".join(base), " ".join(reversed(base))
+    near_one, near_other = " ".join([*base[:-1], "x"]), " ".join([*reversed(base[1:]), "y"])
+    rows = [(5, one), (5, other), (7, near_one), (8, near_other), (9, one), (9, one), (3, "a b c d"), (3, "e f g h")]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.near_groups(df, width=3, percent=85).collect()}
+    assert got == {(5, 58, 5, True), (7, 58, 5, False), (8, 58, 5, False), (9, 58, 5, False), (3, 2, 3, True)}
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 70, 80, 85, 90):
+        r = near.rows_for(percent)
+        assert (1 - (percent / 100) ** r) ** near.BANDS <= near.MISS < (1 - (percent / 100) ** (r + 1)) ** near.BANDS
