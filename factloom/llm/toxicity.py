@@ -1,10 +1,10 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nyström features.
 
 The kernel of two words sums over their common subsequences of LEAST to ORDER characters, each weighted by DECAY to the gaps that it has in
-both, is normalised and taken to the power SHARP; so a word with gapped or inserted characters stays near the word that it hides, and words that share a stem
-are told apart. Nyström landmarks are words of the training texts: telling words of toxic texts, until these texts are covered, and the clean words
-most like them. A text counts by its most suspicious words (a text is toxic if a sentence in it is, a sentence if a word
-in it is): training alternates between choosing each toxic sentence's witness words and fitting a linear SVM to witnesses against
+both, and is normalised; so a word with gapped or inserted characters stays near the word that it hides. Nyström landmarks
+are words of the training texts: usual words with the letter runs that toxic texts have; or, where a model of these misses too many of the
+toxic texts that it learned from, whole words, until no further one covers enough of these texts; and the clean words most like those. A text counts by its most suspicious words (a text is toxic if a sentence in it is, a sentence if a word
+in it is): training alternates between choosing each toxic sentence's witness word and fitting a linear SVM to witnesses against
 the most suspicious words of clean sentences. The text's score is a logistic function of its highest margins.
 
 Training takes a bounded sample of labelled rows to the driver (`most_labelled`); scoring reads whole texts.
@@ -29,11 +29,13 @@ from factloom.llm.shingles import stretches, text_bytes
 LEAST, ORDER, DECAY = 3, 5, 0.7
 #: Longer words are read in windows of this length that overlap by half.
 LONGEST = 24
-#: Bounds of the landmarks: toxic words are taken until no text is left that new ones would cover, clean ones as said.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 96
-SHARED, REACH, SHARP = 0.75, 2, 1.25
-#: A word of toxic texts tells if so many have it, and it is so much likelier in them (logarithm) than in clean ones.
+#: Bounds of the landmarks: words that stand for letter runs of toxic texts, or whole words of these; and the clean words beside either.
+STEM_LANDMARKS, WORD_LANDMARKS, CLEAN_LANDMARKS = 24, 96, (8, 96)
+SHARED, REACH = 0.75, 2
+#: A word of toxic texts tells if so many have it, and it is so much likelier in them (logarithm) than in clean ones; a further word must add so much of all toxic texts.
 TEXTS, LIFT, ADDS = 3, 2.0, 0.005
+#: The share of toxic training texts that a model may miss before one of whole words is tried.
+MISSED = 0.02
 #: Windows of so many letters that overlap by half, for words of over so many letters: of a landmark of 3 to 5, 6 to 8 or 9 to 11
 #: letters one of these windows holds all, and is no longer than REACH allows.
 SCALES = ((8, 8), (14, 14), (20, 20))
@@ -170,7 +172,7 @@ class SubsequenceKernel:
                 for j in range(0, len(word), 512):
                     w, m = word[j : j + 512], mark[j : j + 512]
                     match = (c[w][:, :, None] == self.codes[m][:, None, :]).astype(np.float32)
-                    out[part[w], m] = (self._sum(match, left, self.right) / np.maximum(norm[back[j : j + 512]] * self.norm[m], 1e-9)) ** SHARP
+                    out[part[w], m] = self._sum(match, left, self.right) / np.maximum(norm[back[j : j + 512]] * self.norm[m], 1e-9)
         return out
 
 
@@ -261,6 +263,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+def grams(word: str) -> set[str]:
+    """Runs of 4 to 6 characters, the mark of the start among them."""
+    return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
+
+
 def _read(texts: list[str]) -> tuple[list[str], np.ndarray, list[list[np.ndarray]]]:
     """The sorted distinct words of the texts, which of them are whole somewhere, and for each text its sentences as places in them."""
     place: dict[str, int] = {}
@@ -288,17 +295,26 @@ def _texts_with(texts: Iterable[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _covering(vocabulary: list[str], texts: list[np.ndarray], lift: np.ndarray) -> list[str]:
-    """Words of the texts (given by places), each the one that most texts have which others cover least; of equal ones the longest. They end when the next would add under ADDS of the texts."""
+def _highest(value: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The highest value of each word's runs; 0 for a word without any."""
+    out = np.zeros(len(bounds) - 1)
+    some = bounds[:-1] < bounds[1:]
+    if some.any():
+        out[some] = np.maximum.reduceat(value[flat], bounds[:-1][some])
+    return out
+
+
+def _covering(vocabulary: list[str], texts: list[np.ndarray], lift: np.ndarray, least: float) -> list[str]:
+    """Words of the texts (given by places), each the one that most texts have which others cover least; of equal ones the longest. They end when the next would add under `least` texts."""
     covered, chosen = np.zeros(len(texts)), []
     holders: dict[int, list[int]] = {}
     for k, s in enumerate(texts):
         for w in s.tolist():
             holders.setdefault(w, []).append(k)
     gain = {w: float(len(k)) for w, k in holders.items()}
-    while gain and len(chosen) < TOXIC_LANDMARKS:
+    while gain and len(chosen) < WORD_LANDMARKS:
         best = max(gain, key=lambda w: (round(gain[w], 6), len(vocabulary[w]), lift[w], w))
-        if gain.pop(best) < max(1, ADDS * len(texts)):
+        if gain.pop(best) < least:
             break
         chosen.append(vocabulary[best])
         for k in holders[best]:
@@ -320,61 +336,131 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, seed: int = 5) -
     of_text = [np.unique(np.concatenate(text)) if text else np.zeros(0, np.int32) for text in held]
     toxic_texts = [s for s, label in zip(of_text, labels, strict=True) if label]
     clean_texts = [s for s, label in zip(of_text, labels, strict=True) if not label]
+    often = _texts_with(clean_texts, len(vocabulary))
+    toxic_often = _texts_with(toxic_texts, len(vocabulary))
+    in_clean, in_toxic = often > 0, toxic_often > 0
+    # Letter runs that toxic texts have and clean ones haven't tell which words may be the witnesses at first.
     n1, n0 = y.sum(), len(y) - y.sum()
-    often, toxic_often = _texts_with(clean_texts, len(vocabulary)), _texts_with(toxic_texts, len(vocabulary))
-    in_clean = often > 0
-    lift = np.log((toxic_often + 0.5) / (n1 + 1)) - np.log((often + 0.5) / (n0 + 1))
-    telling = whole & (toxic_often >= min(TEXTS, n1)) & (lift >= LIFT)
-    landmarks = _covering(vocabulary, [s[telling[s]] for s in toxic_texts], lift)
+    counted = Counter()
+    for s in toxic_texts:
+        counted.update(set().union(*(grams(vocabulary[w]) for w in s)))
+    runs = sorted(g for g, k in counted.items() if k >= max(2, 0.01 * n1))
+    bad = np.array([counted[g] for g in runs], dtype=float)
+    del counted
+    number = {g: k for k, g in enumerate(runs)}
+    # The runs of word w are flat[bounds[w] : bounds[w + 1]].
+    bounds, flat = np.zeros(len(vocabulary) + 1, dtype=np.int64), array("i")
+    for k, w in enumerate(vocabulary):
+        flat.extend(number[g] for g in grams(w) if g in number)
+        bounds[k + 1] = len(flat)
+    flat = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)
+    runs_of = lambda s: np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in s])) if len(s) else np.zeros(0, np.int32)
+    good = _texts_with((runs_of(s) for s in clean_texts), len(runs))
+    lift = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
+    worth = np.where(in_toxic, _highest(lift * np.sqrt(bad), flat, bounds), 0.0)
+    raised = _highest(lift, flat, bounds)
+    leads = Counter()
+    for s in toxic_texts:
+        if len(s):
+            leads[int(s[::-1][worth[s[::-1]].argmax()])] += 1
+            leads.update(s[raised[s] > 2.5].tolist())
+    if not leads:
+        return constant
+    # Landmarks: each is the most usual word with the run of letters that most toxic texts have which few landmarks cover yet.
+    marked = [set(r[lift[r] > 2.5].tolist()) for r in map(runs_of, toxic_texts)]
+    covered, landmarks = np.zeros(len(marked)), []
+    while len(landmarks) < STEM_LANDMARKS:
+        gain = Counter()
+        for t, c in zip(marked, covered, strict=True):
+            gain.update(dict.fromkeys(t, 0.5**c) if t else {})
+        best = max(gain, key=lambda g: (gain[g], len(runs[g]), g), default=None)
+        if best is None or gain[best] < 0.25:
+            break
+        able = (w for w in leads if runs[best] in vocabulary[w] and vocabulary[w] not in landmarks and not in_clean[w])
+        word = max(able, key=lambda w: (leads[w], -len(vocabulary[w]), w), default=None)
+        for k, t in enumerate(marked):
+            if best in t:
+                covered[k] += 1
+                if word is None:
+                    t.discard(best)
+        if word is not None:
+            landmarks.append(vocabulary[word])
     if not landmarks:
         return constant
-    # And the clean words most like those.
-    gates = len(landmarks)
-    usual = np.flatnonzero(in_clean & whole & ~telling)
-    usual = usual[np.argsort(-often[usual], kind="stable")][:20000]
-    plain = [vocabulary[k] for k in usual]
-    like = SubsequenceKernel(landmarks)(plain).max(axis=1, initial=0) * np.sqrt(often[usual])
-    landmarks += [plain[k] for k in np.argsort(-like, kind="stable")[:CLEAN_LANDMARKS] if like[k] > 0]
-    gram = SubsequenceKernel(landmarks)(landmarks).astype(float)
-    kernel = SubsequenceKernel(landmarks, gates)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    # Kernel values of the words that have any; others' margin is the bias.
-    live, features = [], []
-    for i in range(0, len(vocabulary), 32768):
-        values = kernel(vocabulary[i : i + 32768])
-        some = np.flatnonzero(values.any(axis=1))
-        live.append(some + i)
-        features.append((values[some] @ root).astype(float))
-    live, features = np.concatenate(live), np.concatenate(features)
-    row = np.full(len(vocabulary), len(live))
-    row[live] = np.arange(len(live))
-    features = np.vstack([features, np.zeros(features.shape[1])])
-    margin = np.where(telling, lift, 0.0)
-    weights, bias = np.zeros(features.shape[1]), 0.0
-    rng = np.random.default_rng(seed)
-    clean_words = np.flatnonzero(in_clean & ~telling)
-    for _ in range(rounds):
-        witness = Counter()
-        for i, text in enumerate(held):
-            if labels[i]:
-                for s in text:
-                    witness.update(s[telling[s] & (row[s] < len(live))].tolist())
-                    able = s[~in_clean[s]]
-                    if len(able) and margin[t := able[margin[able].argmax()]] > 0 and not telling[t]:
-                        witness[int(t)] += 1
-        if not witness or not len(clean_words):
-            return constant
-        hard = clean_words[np.argsort(-margin[clean_words], kind="stable")[:3000]]
-        positive, negative = np.array(sorted(witness)), np.unique(np.r_[hard, rng.choice(clean_words, min(len(clean_words), 3000), replace=False)])
-        count = np.sqrt([witness[k] for k in positive])
-        x, side = features[row[np.r_[positive, negative]]], np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        seen = np.sqrt(often[negative])
-        weights, bias = fit_svm(x, side, np.r_[count / count.sum(), seen / seen.sum()])
-        margin = (features @ weights + bias)[row]
-    model = Model(landmarks, gates, root @ weights, bias, np.zeros(TOPS), 0.0)
-    model.slopes, model.offset = fit_logistic(np.array([model.tops(margin[s].tolist()) for s in of_text]), y)
-    return model
+    fit = _Fit(vocabulary, held, of_text, y, often)
+    model = fit.model(landmarks, np.where(raised > 2.5, worth, 0.0), np.zeros(len(vocabulary), dtype=bool), rounds, seed)
+    wrong = lambda: int(((fit.scores >= 0.5) != (y > 0)).sum())
+    missed, errors = int(((fit.scores < 0.5) & (y > 0)).sum()), wrong()
+    if model is None or missed > MISSED * n1:
+        # Stems don't tell these toxic texts apart: whole words that do, instead, if that is better for the labelled texts.
+        word_lift = np.log((toxic_often + 0.5) / (n1 + 1)) - np.log((often + 0.5) / (n0 + 1))
+        telling = whole & (toxic_often >= min(TEXTS, n1)) & (word_lift >= LIFT)
+        words = _covering(vocabulary, [s[telling[s]] for s in toxic_texts], word_lift, max(1, ADDS * n1))
+        other = fit.model(words, np.where(telling, word_lift, 0.0), telling, rounds, seed) if words else None
+        if other and (model is None or wrong() < errors):
+            model = other
+    return model or constant
+
+
+class _Fit:
+    """Training words and texts, with which models of several sets of landmarks are fitted."""
+
+    def __init__(self, vocabulary: list[str], held: list[list[np.ndarray]], of_text: list[np.ndarray], y: np.ndarray, often: np.ndarray) -> None:
+        self.vocabulary, self.held, self.of_text, self.y, self.often = vocabulary, held, of_text, y, often
+        self.scores = np.zeros(len(y))
+
+    def model(self, landmarks: list[str], margin: np.ndarray, telling: np.ndarray, rounds: int, seed: int) -> Model | None:
+        """A model; scores: what it gives the training texts. margin: a first guess for each word; telling: words that count as witnesses wherever they are."""
+        vocabulary, often, in_clean = self.vocabulary, self.often, self.often > 0
+        # With the clean words most like the landmarks.
+        gates = len(landmarks)
+        usual = np.flatnonzero(in_clean & ~telling)
+        usual = usual[np.argsort(-often[usual], kind="stable")][:20000]
+        plain = [vocabulary[k] for k in usual]
+        like = SubsequenceKernel(landmarks)(plain).max(axis=1, initial=0) * np.sqrt(often[usual])
+        few = CLEAN_LANDMARKS[int(telling.any())]
+        landmarks = landmarks + [plain[k] for k in np.argsort(-like, kind="stable")[:few] if like[k] > 0 and plain[k] not in landmarks]
+        gram = SubsequenceKernel(landmarks)(landmarks).astype(float)
+        kernel = SubsequenceKernel(landmarks, gates)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+        # Kernel values of the words that have any; others' margin is the bias.
+        live, features = [], []
+        for i in range(0, len(vocabulary), 32768):
+            values = kernel(vocabulary[i : i + 32768])
+            some = np.flatnonzero(values.any(axis=1))
+            live.append(some + i)
+            features.append((values[some] @ root).astype(float))
+        live, features = np.concatenate(live), np.concatenate(features)
+        row = np.full(len(vocabulary), len(live))
+        row[live] = np.arange(len(live))
+        features = np.vstack([features, np.zeros(features.shape[1])])
+        rng = np.random.default_rng(seed)
+        clean_words = np.flatnonzero(in_clean & ~telling)
+        weights, bias = np.zeros(features.shape[1]), 0.0
+        for _ in range(rounds):
+            witness = Counter()
+            for text, label in zip(self.held, self.y, strict=True):
+                if label:
+                    for s in text:
+                        witness.update(s[telling[s] & (row[s] < len(live))].tolist())
+                        able = s[~in_clean[s]]
+                        if len(able) and margin[t := able[margin[able].argmax()]] > 0 and not telling[t]:
+                            witness[int(t)] += 1
+            if not witness or not len(clean_words):
+                return None
+            hard = clean_words[np.argsort(-margin[clean_words], kind="stable")[:3000]]
+            positive, negative = np.array(sorted(witness)), np.unique(np.r_[hard, rng.choice(clean_words, min(len(clean_words), 3000), replace=False)])
+            count = np.sqrt([witness[k] for k in positive])
+            x, side = features[row[np.r_[positive, negative]]], np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+            seen = np.sqrt(often[negative])
+            weights, bias = fit_svm(x, side, np.r_[count / count.sum(), seen / seen.sum()])
+            margin = (features @ weights + bias)[row]
+        made = Model(landmarks, gates, root @ weights, bias, np.zeros(TOPS), 0.0)
+        tops = np.array([made.tops(margin[s].tolist()) for s in self.of_text])
+        made.slopes, made.offset = fit_logistic(tops, self.y)
+        self.scores = made.score(tops)
+        return made
 
 
 def held_out(doc_id: Column) -> Column:
