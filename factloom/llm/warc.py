@@ -1,8 +1,9 @@
 """WARC files: written by Spark's tasks, and read back through a PySpark data source.
 
-A file is a sequence of gzip members, one for each record. Identical payloads are stored once: the other records
-revisit the first. The source plans one partition for some files each, takes predicates on record type and header fields, parses headers
-first, and doesn't decode a payload that no column or predicate asks for.
+A file is a sequence of gzip members, one for each record, and each member's gzip header tells its length (an extra field, which other
+readers pass over). Identical payloads are stored once: the other records revisit the first. The source plans one partition for some files each, takes
+predicates on record type and header fields, parses headers first, and goes to the next member without reading or inflating a
+payload that no column or predicate asks for.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from factloom.llm.common import freed, shared_dir, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_HEAD = struct.Struct("<4sIBBH2sHQQ")
+#: Bytes that are read at once.
+CHUNK = 1 << 18
 SCHEMA = "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Columns that a predicate can be pushed down on, and the header that has each.
 HEADERS = {"record_type": "WARC-Type", "uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "page_id": "WARC-Page-ID", "payload_bytes": "WARC-Payload-Length", "refers_to": "WARC-Refers-To-Page-ID"}
@@ -51,8 +57,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if not kept:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
-    z = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(head).encode() + body + b"\r\n\r\n") + z.flush()
+    return member("\r\n".join(head).encode() + body + b"\r\n\r\n")
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member whose header has an extra field SL: the member's length, and that of what it holds."""
+    z = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = z.compress(raw) + z.flush()
+    size = _HEAD.size + len(body) + 8
+    head = _HEAD.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 20, b"SL", 16, size, len(raw))
+    return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+def member_length(start: bytes) -> int | None:
+    """Of the member that starts so, if its header tells it."""
+    if len(start) < _HEAD.size or start[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    *_, name, n, size, _ = _HEAD.unpack_from(start)
+    return size if name == b"SL" and n == 16 else None
 
 
 def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -69,7 +91,7 @@ def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 
 def write_warc(pages: DataFrame, path: str, *, roll_bytes: int = 64 << 20) -> DataFrame:
-    """Writes with_references' rows as archives under path; returns (file, records, bytes), also stored as a manifest.
+    """Writes with_references' rows as archives under path; returns (file, records, bytes), also stored as a manifest at path-manifest.
 
     Each task writes files of its own name and moves them in place when they are whole; only those that the
     manifest names count, so a task that is lost or runs twice leaves nothing that is read.
@@ -119,7 +141,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema, options) -> None:
         self.columns = [f.name for f in schema.fields]
         self.path = options["path"]
-        self.files = [x for x in options.get("files", "").split(",") if x]
+        self.manifest = options.get("manifest", "")
         self.per_partition = int(options.get("filesperpartition", "4"))
         self.types: set[str] | None = None
         self.equal: dict[str, set[str]] = {}
@@ -138,15 +160,20 @@ class WarcReader(DataSourceReader):
             self.equal[name] = self.equal[name] & values if name in self.equal else values
 
     def partitions(self) -> list[InputPartition]:
-        store, root = fs.FileSystem.from_uri(self.path)
-        names = self.files or sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".warc.gz"))
+        if self.manifest:
+            store, root = fs.FileSystem.from_uri(self.manifest)
+            parts = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet")]
+            names = sorted(ds.dataset(parts, filesystem=store, format="parquet").to_table(["file"])["file"].to_pylist()) if parts else []
+        else:
+            store, root = fs.FileSystem.from_uri(self.path)
+            names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".warc.gz"))
         return [Files(names[i : i + self.per_partition]) for i in range(0, len(names), self.per_partition)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(self.path)
         rows, size = [], 0
         for name in partition.files:
-            with store.open_input_stream(posixpath.join(root, name), compression=None) as stream:
+            with store.open_input_file(posixpath.join(root, name)) as stream:
                 for head, payload in records(stream):
                     if any(self.value(head, k) not in v for k, v in self.equal.items()):
                         continue
@@ -178,20 +205,25 @@ class WarcReader(DataSourceReader):
 def records(stream):
     """(headers, function that gives the payload) of each record; the function is to be called before the next record.
 
-    Inflates each member in steps: first to the end of its headers; then, unless the payload is asked for,
-    what follows is only passed over, as a gzip member's end can't be found without it.
+    Inflates each member to the end of its headers. If the payload isn't asked for, the stream goes to the next member by the length in the
+    gzip header; only in archives without that field is what follows inflated, as a member's end can't be found otherwise.
     """
     left = b""
     while True:
+        if len(left) < _HEAD.size:
+            left += stream.read(CHUNK)
+        size, used = member_length(left), 0
         z, got, end = zlib.decompressobj(31), bytearray(), -1
         while end < 0 and not z.eof:
-            left = left or stream.read(1 << 20)
+            left = left or stream.read(CHUNK)
             if not left:
-                if got:
+                if got or used:
                     raise ValueError("the archive ends within a record")
                 return
+            before = len(left)
             got += z.decompress(left, 4096)
             left = z.unconsumed_tail if not z.eof else z.unused_data
+            used += before - len(left)
             end = got.find(b"\r\n\r\n")
         if end < 0:
             raise ValueError("a record has no end of headers")
@@ -204,8 +236,14 @@ def records(stream):
         def rest(keep: bool):
             nonlocal left, over
             over = True
+            if not keep and size is not None:
+                on = size - used
+                if on > len(left):
+                    stream.seek(on - len(left), 1)
+                left = left[on:]
+                return
             while not z.eof:
-                left = left or stream.read(1 << 20)
+                left = left or stream.read(CHUNK)
                 if not left:
                     raise ValueError("the archive ends within a record")
                 x = z.decompress(left, 1 << 20)
@@ -229,7 +267,7 @@ def records(stream):
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc"): path; files (comma-separated names, else all), filesPerPartition."""
+    """spark.read.format("warc"): path; manifest (a table with the names of the files that count, else all), filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:
@@ -242,26 +280,31 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
 
-def read_warc(spark: SparkSession, path: str, files: list[str] | None = None, columns: str = SCHEMA) -> DataFrame:
-    """The records; columns: those of SCHEMA that are wanted. Without payload among them no payload is decoded."""
+def read_warc(spark: SparkSession, path: str, manifest: str | None = None, columns: str = SCHEMA) -> DataFrame:
+    """The records; columns: those of SCHEMA that are wanted. Without payload among them no payload is read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc").schema(columns)
-    return (reader.option("files", ",".join(files)) if files else reader).load(path)
+    return (reader.option("manifest", manifest) if manifest else reader).load(path)
 
 
 def archive_round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """Writes a record for each page and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html counts as empty. Pages that repeat a page_id and a payload are both records of it; those without page_id are responses. Responses are
-    decoded and held against their digests. An empty table gives no rows.
+    Null html counts as empty. Pages that repeat a page_id are records each; of equal payloads all records with the smallest page_id are responses. Pages
+    without page_id are responses. Responses are decoded and held against their digests; a very long payload is held whole by its task. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
-    rows = with_references(pages, least_bytes=least_bytes)
-    files = [x.file for x in write_warc(rows, path).select("file").collect()]  # one for each writing task, or 64 MB
-    if not files:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    back = read_warc(spark, path, files)
+    write_warc(with_references(pages, least_bytes=least_bytes), path)
+    back = read_warc(spark, path, f"{path}-manifest")
     sizes_agree = F.when(F.col("record_type") == "response", F.length("payload") == F.col("payload_bytes")).otherwise(True)
     return back.where(F.assert_true(sizes_agree, "a payload has another length than its header says").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = r"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS t FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first, sha1(t) AS h FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
