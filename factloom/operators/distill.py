@@ -64,8 +64,8 @@ def samples(rows: DataFrame, prompts: dict[str, str], request: str = REQUEST) ->
 
 
 def split(rows: DataFrame, n_eval: int, seed: int = 42, spare: int = 10) -> DataFrame:
-    """With is_eval: n_eval rows by a seeded hash of id. There must be n_eval + spare rows at least."""
-    chosen = rows.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n_eval)
+    """With is_eval: n_eval rows by a seeded hash of id that any engine with MD5 draws alike. There must be n_eval + spare rows at least."""
+    chosen = rows.select("id").orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(n_eval)
     n = rows.count()
     if n < n_eval + spare:
         raise ValueError(f"{n} rows are too few for {n_eval} to be held out")

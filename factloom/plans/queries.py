@@ -268,6 +268,15 @@ def search(spark, sf):
     return _documents(spark, sf).select("qid", "doc_id", F.round("score", 5).alias("score"), "n_facts")
 
 
+@query(_SCORED + "SELECT qid, doc_id, round(max(score), 5) AS score FROM scored WHERE qid = (SELECT min(item_id) FROM benchmark) AND pattern_no = 0 GROUP BY qid, doc_id")
+def search_one(spark, sf):
+    """One pattern of one question, without the question itself."""
+    first = fx.queries(spark, sf).agg(F.min("qid").alias("qid"))
+    chosen = fx.patterns(spark, sf).where("pattern_no = 0").join(F.broadcast(first), "qid", "left_semi")
+    found = retrieve.search(fx.facts(spark, sf), fx.vectors(spark, sf), fx.vec_id_of(spark, sf), chosen, fx.queries(spark, sf), retrieve.RetrievalConfig(query_channel=False))
+    return found.select("qid", "doc_id", F.round("score", 5).alias("score"))
+
+
 @query(_SCORED + "SELECT qid, doc_id, round(sum(score) FILTER (nth <= 3), 5) AS score FROM nth GROUP BY qid, doc_id")
 def agg_sum3(spark, sf):
     return _documents(spark, sf, "sum3").select("qid", "doc_id", F.round("score", 5).alias("score"))
@@ -634,7 +643,7 @@ def char_stats(spark, sf):
     return distill.length_stats(distill.samples(rows, {"step1": "one", "step2": "two", "step4": "six"})).select("stage", *map(long, ("n", "least", "median", "p90", "p99", "most")))
 
 
-@query()
+@query(f"{_PIPE} SELECT id, row_number() OVER (ORDER BY md5(id || '-42'), id) <= 50 AS is_eval FROM pipeline WHERE status = 'done' AND has4")
 def split(spark, sf):
     return distill.split(distill.completed(fx.pipeline(spark, sf)).select("id"), 50)
 
