@@ -1,15 +1,17 @@
 """Removal of long repeated strings, by suffix arrays of the places that can hold repeats.
 
 A string of `length` bytes has an anchor (see anchors.py), so equal strings meet under the hash at their anchor. An anchor and the strings that
-have it are a segment of a text. Segments under a hash of their own hold no repeat. Equal segments are one class; what
+have it are a segment of a text. Segments under a hash of their own hold no repeat. Segments with the same 128-bit keyed digest are one class; what
 a class of two or more covers is repeated. The distinct segments under a shared hash are cut into blocks on a grid that starts at the anchor, and a
 suffix array of the blocks (suffixes.py) gives which strings agree in their whole blocks; with the bytes before and after those,
-compared as they are, that says which strings occur again. Nothing but equal bytes counts as a repeat.
+compared as they are, that says which strings occur again. So bytes are compared in suffix arrays, and digests of 128 bits where copies of whole segments, or
+the single strings of a group too large for one suffix array, are counted: of n strings, some pair of different ones has the same digest with a probability of n^2 / 2^129.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.anchors import LONGEST, anchors
-from factloom.llm.common import id_and_text, shuffle_partitions, stored
-from factloom.llm.shingles import text_bytes
+from factloom.llm.anchors import GRAM, LONGEST, anchors
+from factloom.llm.common import freed, id_and_text, shuffle_partitions, stored
+from factloom.llm.shingles import mix, text_bytes
 from factloom.llm.suffixes import common_prefixes, suffix_array
 
-BLOCK = 16
+BLOCK = 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_WEIGHTS = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) for k in range(2 * BLOCK // 8 + 1)]
 #: Bytes of texts in which anchors are sought together.
 TOGETHER = 2 << 20
 #: Distinct segments under a hash that are put in one suffix array; where there are more, they are split by what their strings have in common.
-MOST = 6000
+MOST = 1500
 #: Segments that share a suffix array, whole groups of them unless a group is larger.
-BATCH = 1500
+BATCH = 3000
 
 
 def repeated_windows(segments: list[bytes], anchor: list[int], length: int) -> list[np.ndarray]:
@@ -36,52 +40,93 @@ def repeated_windows(segments: list[bytes], anchor: list[int], length: int) -> l
 
     anchor: the place in each segment where its grid starts.
     """
-    parts, symbols, origin = [], [], []
-    for s, a in zip(segments, anchor, strict=True):
-        skip = a % BLOCK
-        blocks = (len(s) - skip) // BLOCK
-        parts.append(np.frombuffer(s, np.uint8)[skip : skip + blocks * BLOCK].view(f"V{BLOCK}"))
-        origin.append(skip)
-    _, rank = np.unique(np.concatenate(parts), return_inverse=True)
-    rank = rank + len(segments)
-    text, at, starts = [], 0, []
-    for i, p in enumerate(parts):  # each segment ends in a symbol of its own, smaller than blocks
-        starts.append(len(text))
-        text += rank[at : at + len(p)].tolist()
-        text.append(i)
-        at += len(p)
+    sizes = np.array([len(s) for s in segments], dtype=np.int64)
+    skip = np.array(anchor, dtype=np.int64) % BLOCK  # bytes before a segment's first block
+    blocks = (sizes - skip) // BLOCK
+    data = np.frombuffer(b"".join(segments) + bytes(BLOCK), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    of_block = np.repeat(np.arange(len(segments)), blocks)
+    nth = np.arange(len(of_block)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    at = (begin + skip)[of_block] + nth * BLOCK
+    rank = _ranks([words[at + 8 * j] for j in range(BLOCK // 8)]) + len(segments)
+    # Each segment ends in a symbol of its own, smaller than blocks.
+    starts = np.cumsum(blocks + 1) - (blocks + 1)
+    symbols = np.empty(len(rank) + len(segments), dtype=np.int64)
+    symbols[starts + blocks] = np.arange(len(segments))
+    symbols[starts[of_block] + nth] = rank
+    text = symbols.tolist()
     array = suffix_array(text)
     shared = np.array(common_prefixes(text, array))
     place = np.array(array)
+    # Strings that have r bytes before their first whole block have depths[r] whole blocks.
+    depths = (length - np.arange(BLOCK)) // BLOCK
     class_at = {}
-    whole = length // BLOCK
-    for depth in {(length - r) // BLOCK for r in range(BLOCK)}:
+    for depth in np.unique(depths).tolist():
         of = np.empty(len(text), dtype=np.int64)
         of[place] = np.cumsum(shared < depth)
         class_at[depth] = of
-    keys = []
-    step = np.arange(BLOCK)
-    for s, a, skip, begin in zip(segments, anchor, origin, starts, strict=True):
-        b = np.frombuffer(s, np.uint8)
-        x = np.arange(len(s) - length + 1)
-        r = (a - x) % BLOCK  # bytes before the first whole block
-        depth = (length - r) // BLOCK
-        first = begin + (x + r - skip) // BLOCK
-        agreed = np.where(depth == whole, class_at[whole][first], class_at.get(whole - 1, class_at[whole])[first])
-        source = x[:, None] + step + np.where(step >= r[:, None], depth[:, None] * BLOCK, 0)
-        inside = (step < r[:, None]) | (step < (length - depth * BLOCK)[:, None])
-        ends = np.where(inside, b[np.minimum(source, len(s) - 1)], 0).astype(np.uint8)
-        key = np.zeros((len(x), 3), dtype=np.uint64)
-        key[:, 0] = agreed.astype(np.uint64) * np.uint64(64) + r.astype(np.uint64)
-        key[:, 1:] = np.ascontiguousarray(ends).view(np.uint64)
-        keys.append(key)
-    all_ = np.ascontiguousarray(np.concatenate(keys))
-    order = np.lexsort((all_[:, 2], all_[:, 1], all_[:, 0]))
-    ordered = all_[order]
-    same = (ordered[1:] == ordered[:-1]).all(axis=1)
-    again = np.zeros(len(all_), dtype=bool)
+    n = sizes - length + 1
+    segment = np.repeat(np.arange(len(segments)), n)
+    x = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    r = (skip[segment] - x) % BLOCK
+    depth = depths[r]
+    first = starts[segment] + (x + r - skip[segment]) // BLOCK
+    agreed = np.zeros(len(x), dtype=np.int64)
+    for d, of in class_at.items():
+        mine = depth == d
+        agreed[mine] = of[first[mine]]
+    # The bytes before the first whole block, and those after the last, as they are.
+    keys = [(agreed * 64 + r).astype(np.uint64)]
+    for start, count in ((begin[segment] + x, r), (begin[segment] + x + r + depth * BLOCK, length - r - depth * BLOCK)):
+        for j in range(BLOCK // 8):
+            keys.append(words[np.minimum(start + 8 * j, len(words) - 1)] & _MASK[np.clip(count - 8 * j, 0, 8)])
+    _, same, order = _sorted(keys)
+    again = np.zeros(len(x), dtype=bool)
     again[order] = np.r_[False, same] | np.r_[same, False]
-    return np.split(again, np.cumsum([len(k) for k in keys])[:-1])
+    return np.split(again, np.cumsum(n)[:-1])
+
+
+def _sorted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash of each row, whether each row in order equals the one before, the order that puts equal rows side by side)."""
+    h = np.zeros(len(keys[0]), dtype=np.uint64)
+    for k, weight in zip(keys, _WEIGHTS, strict=False):
+        h = mix(h ^ (k * weight))
+    order = np.argsort(h, kind="stable")
+    same, close = np.ones(max(0, len(h) - 1), dtype=bool), h[order][1:] == h[order][:-1]
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    if (close & ~same).any():  # different rows with one hash
+        order = np.lexsort(keys)
+        same = np.ones(len(h) - 1, dtype=bool)
+        for k in keys:
+            same &= k[order][1:] == k[order][:-1]
+    return h, same, order
+
+
+def _ranks(keys: list[np.ndarray]) -> np.ndarray:
+    """A number for each row, from 0, the same for equal rows."""
+    _, same, order = _sorted(keys)
+    out = np.zeros(len(order), dtype=np.int64)
+    if len(order):
+        out[order] = np.append(0, np.cumsum(~same))
+    return out
+
+
+def alike(rows: list[tuple], length: int) -> list[tuple]:
+    """Of the segments (class, anchor, key, shift, text) under some keys, those that can have a string in common with another of the same key.
+
+    Two equal strings have their anchor and, as they are longer than it, at least half of the rest on one of its sides in common.
+    """
+    side = (length - GRAM) // 2
+    counts: Counter = Counter()
+    sides = []
+    for r in rows:
+        a, text = r[1], r[4]
+        mine = [(r[2], 0, text[a - side : a])] * (a >= side) + [(r[2], 1, text[a + GRAM : a + GRAM + side])] * (a + GRAM + side <= len(text))
+        sides.append(mine)
+        counts.update(mine)
+    return [r for r, mine in zip(rows, sides, strict=True) if any(counts[x] > 1 for x in mine)]
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -125,7 +170,7 @@ def _segments(length: int):
             data, offsets = text_bytes(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 cut = [data[offsets[i] + w["first"] : offsets[i] + w["last"] + length].tobytes() for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([w["class"] for w in wanted], pa.binary()), pa.array([w["grid"] for w in wanted], pa.int32()), pa.array([w["hash"] for w in wanted], pa.int64()), pa.array([0] * len(wanted), pa.int32()), pa.array(cut, pa.binary())], SEGMENT_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([w["class"] for w in wanted], pa.binary()), pa.array([w["grid"] for w in wanted], pa.int32()), pa.array([w["hash"].to_bytes(8, "little", signed=True) for w in wanted], pa.binary()), pa.array([0] * len(wanted), pa.int32()), pa.array(cut, pa.binary())], SEGMENT_NAMES)
 
     return run
 
@@ -142,10 +187,10 @@ def _split(length: int, width: int):
                     near = (grid - x) // width * width  # the least of these distances
                     stop = min(end, grid - near + 1)
                     core = s[grid - near : grid - (near + width - 1) + length]
-                    name = hashlib.blake2b(core, digest_size=8, salt=b"%d" % near, key=key.to_bytes(8, "little", signed=True)).digest()
-                    out.append((class_, grid - x, int.from_bytes(name, "little", signed=True), shift + x, s[x : stop - 1 + length]))
+                    name = hashlib.blake2b(core, digest_size=16, salt=b"%d" % near, key=key).digest()
+                    out.append((class_, grid - x, name, shift + x, s[x : stop - 1 + length]))
                     x = stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], SEGMENT_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], SEGMENT_NAMES)
 
     return run
 
@@ -154,7 +199,9 @@ def _solved(length: int):
     """Segments, sorted by key: the spans (class, from, to) of strings that occur again under the same key."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = []
+        found, rows = [], alike(rows, length)
+        if not rows:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["class", "from", "to"])
         for r, flags in zip(rows, repeated_windows([r[4] for r in rows], [r[1] for r in rows], length), strict=True):
             found += [(r[0], r[3] + a, r[3] + b + length) for a, b in runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["class", "from", "to"])
@@ -174,7 +221,7 @@ def _solved(length: int):
 
 
 SEGMENT_NAMES = ["class", "grid", "key", "shift", "segment"]
-SEGMENT_SCHEMA = "class binary, grid int, key long, shift int, segment binary"
+SEGMENT_SCHEMA = "class binary, grid int, key binary, shift int, segment binary"
 
 
 def _spans(segments: DataFrame, length: int, most: int) -> DataFrame:
@@ -187,11 +234,11 @@ def _spans(segments: DataFrame, length: int, most: int) -> DataFrame:
     for width in (32, 1, None):
         large = stored(segments.groupBy("key").count().where(F.col("count") > most).select("key"), "substring-large")
         small = segments.join(large, "key", "left_anti")
-        done = small.select(SEGMENT_NAMES).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_solved(length), "class binary, from long, to long")
+        done = small.select(SEGMENT_NAMES).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(freed(_solved(length)), "class binary, from long, to long")
         out = done if out is None else out.unionByName(done)
         if width is None or large.isEmpty():
             break
-        segments = stored(segments.join(large.hint("merge"), "key").select(SEGMENT_NAMES).mapInArrow(_split(length, width), SEGMENT_SCHEMA), "substring-split")
+        segments = stored(segments.join(large.hint("merge"), "key").select(SEGMENT_NAMES).mapInArrow(freed(_split(length, width)), SEGMENT_SCHEMA), "substring-split")
         if width == 1:
             again = stored(segments.groupBy("key").count().where("count > 1").select("key"), "substring-again")
             out = out.unionByName(segments.join(again.hint("merge"), "key").select("class", F.col("shift").cast("long").alias("from"), (F.col("shift") + F.lit(length)).cast("long").alias("to")))
@@ -230,7 +277,7 @@ def without_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST) ->
     if length < 64:
         raise ValueError("length is under 64 bytes")
     texts = id_and_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("sum"), "text")
-    rows = stored(texts.where(F.octet_length("text") >= length).select("doc", "sum", "text").mapInArrow(_anchor_rows(length), "doc long, sum long, hash long, first long, last long, grid int, class binary"), "substring-anchors")
+    rows = stored(texts.where(F.octet_length("text") >= length).select("doc", "sum", "text").mapInArrow(freed(_anchor_rows(length)), "doc long, sum long, hash long, first long, last long, grid int, class binary"), "substring-anchors")
     # Under a hash: how many segments, and how many of them differ; counted from classes, so a hot hash is a row for each class and task.
     classes = rows.groupBy("hash", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sum", "first", "last", "grid")).alias("one"))
     classes = stored(classes, "substring-classes")
@@ -238,11 +285,23 @@ def without_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST) ->
     mixed = stored(classes.join(stored(shared, "substring-shared").hint("merge"), "hash"), "substring-mixed")
     wanted = mixed.select("one.doc", "one.sum", F.struct("class", "hash", "one.first", "one.last", "one.grid").alias("w")).groupBy("doc", "sum").agg(F.collect_list("w").alias("wanted"))
     wanted = stored(wanted, "substring-wanted")
-    segments = stored(texts.select("doc", "sum", "text").join(wanted.hint("merge"), ["doc", "sum"]).select("text", "wanted").mapInArrow(_segments(length), SEGMENT_SCHEMA), "substring-segments")
+    segments = stored(texts.select("doc", "sum", "text").join(wanted.hint("merge"), ["doc", "sum"]).select("text", "wanted").mapInArrow(freed(_segments(length)), SEGMENT_SCHEMA), "substring-segments")
     found = stored(_spans(segments, length, most), "substring-spans")
     single = found.join(mixed.where("n = 1").select("class", "one"), "class").select("one.doc", "one.sum", (F.col("one.first") + F.col("from")).alias("from"), (F.col("one.first") + F.col("to")).alias("to"))
     several = stored(classes.where("n > 1").select("hash", "class"), "substring-several")
     direct = rows.join(several.hint("merge"), ["hash", "class"]).select("doc", "sum", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
     spans = single.unionByName(direct).groupBy("doc", "sum").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     spans = stored(spans, "substring-removed")
-    return texts.join(spans.hint("merge"), ["doc", "sum"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(spans.hint("merge"), ["doc", "sum"], "left").select("doc_id", "text", "spans").mapInArrow(freed(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
+s AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+j AS (SELECT k.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
