@@ -1,49 +1,24 @@
-"""What the operators of this subpackage share: reading tables and writing intermediate tables."""
+"""What the operators of this subpackage share: reading tables, writing intermediate tables, Python workers' memory."""
 
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.stored import shared_dir, stored
+
+__all__ = ["freed", "id_and_text", "shared_dir", "shuffle_partitions", "stored", "table", "text_key", "without_rows"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Only a session on one machine (master local[...]) may lack that setting, as in tests: it gets a folder of its own. Elsewhere a
-    folder of the driver's machine would be another one on each executor, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that the cluster shares")
-        base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -66,6 +41,22 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """With doc_id, what a row is told by: a hash of its text as it is (null: empty). It matters only among rows that repeat a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, *, once: bool = False) -> DataFrame:
+    """docs but for the rows (doc_id, text_key) that dropped lists; rows without doc_id are told by their text alone. once: of equal rows that stay, one does."""
+    key = lambda doc_id, of_text: F.concat_ws("/", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), of_text.cast("string"))
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    listed = dropped.select(key(F.col("doc_id"), F.col("text_key")).alias(name)).distinct()
+    left = docs.withColumn(name, key(F.col("doc_id"), text_key(F.col("text")))).join(listed, name, "left_anti")
+    return (left.dropDuplicates([name]) if once else left).select(docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

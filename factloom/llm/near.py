@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import freed, id_and_text, stored
+from factloom.llm.common import freed, id_and_text, stored, text_key
 from factloom.llm.components import components
 from factloom.llm.shingles import mix, shingle_sets, stretches, text_bytes
 
@@ -104,7 +104,7 @@ def open_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+    """doc_id, n_shingles, component_id, kept, text_key of every row.
 
     Documents with 100 * |intersection| >= percent * |union| of their shingle sets are linked; component_id is the smallest
     doc_id that links reach. Words are runs of characters other than white space, with A-Z as a-z. With fewer than `width` words the whole
@@ -123,7 +123,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(minhash.keys(s).astype(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "digest", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], ["rep", "digest", "hashes"])
 
     texts = id_and_text(docs)
-    signed = stored(texts.mapInArrow(freed(sign), "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-signed")
+    signed = stored(texts.withColumn("text_key", text_key(F.col("text"))).mapInArrow(freed(sign), "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>"), "near-signed")
     able = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets are one class; its representative is its smallest doc_id.
     classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
@@ -193,5 +193,19 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
             component = components(compared.unionByName(new).where("linked").select("a", "b"))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named, "near-named")
-    out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = signed.join(named, "digest", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(x) AS x FROM s WHERE len(x) > 0 GROUP BY list_sort(x)),
+e AS MATERIALIZED (SELECT rep, len(x) AS n, unnest(x) AS g FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+t AS (SELECT rep AS node, rep AS of FROM c UNION SELECT l.b, t.of FROM t JOIN l ON l.a = t.node WHERE t.of < l.b),
+m AS (SELECT node, min(of) AS component FROM t GROUP BY node)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.x = list_sort(s.x) LEFT JOIN m ON m.node = c.rep
+"""

@@ -107,3 +107,27 @@ def scan(docs: DataFrame, *, owner: Column | None = None, repository: Column | N
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listing(F.col("base")), 256).alias("base_sha256"),
         listing(F.concat("base", F.coalesce("added", none))).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_widespread", F.lit(0)).cast("long").alias("n_widespread"), F.size(F.coalesce("added", none)).cast("long").alias("n_tokens"),
     )
+
+
+def oracle(most_owners: int = 2, most_repositories: int = 3) -> str:
+    """DuckDB SQL for scan() of documents."""
+    quoted = lambda x: x.replace("'", "''")
+    patterns = [quoted(p.replace("((?i)", "((?i:").replace(")(?-i)", "))")) for _, p, _, _ in KINDS]
+    kinds = "\nUNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, regexp_split_to_array(s, '{p}') AS parts, regexp_extract_all(s, '{p}', 0) AS ms FROM t" for k, p in enumerate(patterns)
+    )
+    mixed = "(regexp_matches(m, '^(?:gh[pousr]_|xox|AIza|eyJ)') OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]'))) AND NOT regexp_matches(m, '^[0-9a-f]+$')"
+    names = ", ".join(f"'{name}'" for name, *_ in KINDS)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS s FROM documents),
+c AS ({kinds}),
+i AS (SELECT doc_id, k, parts, ms, unnest(range(1, len(ms) + 1)) AS i FROM c WHERE len(ms) > 0),
+x AS (SELECT doc_id, k, ms[i] AS m, list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS start, CASE WHEN k = 0 THEN regexp_extract(ms[i], '{patterns[0]}', 2) ELSE ms[i] END AS value FROM i),
+f AS (SELECT doc_id, k, value, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop, ([{names}])[k + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT) AS span FROM x
+  WHERE CASE WHEN k = {BASE} THEN {mixed} ELSE length(value) >= ([{", ".join(str(k[3]) for k in KINDS)}])[k + 1] END),
+o AS (SELECT value FROM f JOIN t USING (doc_id) GROUP BY value HAVING count(DISTINCT owner) > {most_owners} OR count(DISTINCT repository) > {most_repositories}),
+j AS (SELECT f.*, o.value IS NOT NULL AS wide FROM f LEFT JOIN o USING (value)),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg(span, ',' ORDER BY start, k) FILTER (k < {BASE}) AS base, string_agg(span, ',' ORDER BY start, k) FILTER (k < {BASE} OR NOT wide) AS spans,
+  count(*) FILTER (NOT wide) AS live, count(*) FILTER (wide) AS widespread, count(*) FILTER (k = {BASE} AND NOT wide) AS tokens FROM j GROUP BY doc_id)
+SELECT CAST(t.doc_id AS BIGINT) AS doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CAST(coalesce(live, 0) AS BIGINT) AS n_live, CAST(coalesce(widespread, 0) AS BIGINT) AS n_widespread, CAST(coalesce(tokens, 0) AS BIGINT) AS n_tokens FROM t LEFT JOIN a USING (doc_id)"""

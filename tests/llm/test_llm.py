@@ -1,7 +1,11 @@
 """The operators over odd rows, against plain versions."""
 
+import base64
 import functools
+import gzip
 import hashlib
+import io
+import itertools
 import json
 import random
 import re
@@ -175,6 +179,8 @@ def test_exact(docs):
     assert len(got) == len(rows)
     want = sorted((i, min((x for x in groups[t] if x is not None), default=None), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows if i is not None)
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got if r.doc_id is not None) == want
+    null = [r for r in got if r.doc_id is None]
+    assert len(null) == 1 and null[0].group_size == 1 and null[0].keep_id is None and null[0].kept
 
 
 def brute_near(rows, width, percent):
@@ -296,20 +302,143 @@ def test_contamination(spark, docs):
     assert set(got) == {(500, 1), (502, 1)} and got[502, 1] == 0 and 0 < got[500, 1] <= 2
 
 
+def brute_edits(item, text):
+    """The fewest edits of the whole item against any part of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def plain(t):
+    return re.sub(r"[\W_]+", " ", (t or "").lower()).strip()
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 150])
+def test_contamination_against_all_alignments(spark, block_bytes):
+    r = random.Random(11)
+    items = [" ".join(r.choice(WORDS) for _ in range(r.randint(8, 25))) for _ in range(8)] + ["x" * 60, "é" * 45, "short one"]
+    texts = [None, "", "x" * 500, "é" * 44 + " " + "e" * 50, items[0] + " " + items[1], "a" + items[2] + "b"]
+    for _ in range(40):  # items with more and more edits, amid other words
+        t = list(r.choice(items[:8]))
+        for _ in range(r.randint(0, max(2, len(t) // 7))):
+            k = r.randrange(len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(["", "q", "é", " z", "ß"])
+        texts.append(" ".join(r.choice(WORDS) for _ in range(20)) + " " + "".join(t) + " " + " ".join(r.choice(WORDS) for _ in range(20)))
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, item_id long, edits long")
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.edits, x.budget) for x in decontaminate.contaminated(docs, bench, block_bytes=block_bytes).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        for i, item in enumerate(items):
+            m = len(plain(item))
+            budget = min(m * 8 // 100, m // 10 - 1)
+            if m >= 25 and plain(t) and (e := brute_edits(plain(item), plain(t))) <= budget:
+                want[k, i] = (e, budget)
+    assert got == want and sum(e > 0 for e, _ in want.values()) > 5
+
+
 def test_warc(spark):
     pages = [(3, "http://a", "<p>é</p>"), (1, None, None), (2, "http://b\r\nX: y", "<p>é</p>"), (None, "u", "<p>é</p>"), (4, "c", ""), (5, "d", "z" * 3_000_000), (6, "e", "\r\n\r\n")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sum", F.lit(1))
-    got = {r.page_id: r for r in warc.archive_round_trip(df).collect()}
-    assert (got[2].record_type, got[3].refers_to, got[4].refers_to, got[1].payload_bytes, got[5].payload_bytes) == ("response", 2, 1, 0, 3_000_000)
-    assert all(r.payload_digest == warc.sha1_base32((dict((p[0], p[2]) for p in pages)[k] or "").encode()) for k, r in got.items())
+    pages += [(k, f"u{k}", R.choice(["x", "yy", "", "<p>é</p>", f"own {k}"])) for k in range(100, 160)] + [(7, "one", "x"), (7, "other", "yy"), (7, "other", "yy")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sum", F.lit(1)).withColumn("first_id", F.lit(9)).repartition(5)
+    smallest = {}
+    for i, _, t in pages:
+        if i is not None:
+            smallest[t or ""] = min(i, smallest.get(t or "", i))
+    want = Counter()
+    for i, _, t in pages:
+        b, first = (t or "").encode(), smallest[t or ""]
+        revisit = i is not None and i != first
+        want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", first if revisit else None] += 1
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect())
+    assert got == want
 
 
 def test_warc_predicates(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     df = spark.createDataFrame([(k, f"u{k % 2}", "x" if k else "y") for k in range(6)], "page_id long, url string, html string")
-    warc.write_warc(warc.with_references(df), path).collect()
+    warc.write_warc(warc.with_references(df), path)
     rows = warc.read_warc(spark, path, columns="page_id long, record_type string, uri string").where("record_type = 'revisit' AND uri = 'u1'")
     assert sorted(r.page_id for r in rows.collect()) == [3, 5]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan warc" in plan and "revisit" not in plan, plan  # both equalities are the source's; Spark doesn't test them again
+
+
+def test_warc_passes_over_unwanted_payloads():
+    noise = np.random.default_rng(1).bytes(3_000_000)
+    archive = b"".join(warc.record(k, "u", noise if k % 2 else b"short", None) for k in range(6))
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, k=-1):
+            x = super().read(k)
+            Counted.n += len(x)
+            return x
+
+    assert [h["warc-page-id"] for h, _ in warc.records(Counted(archive))] == list("012345")
+    assert Counted.n < 2_000_000 < len(archive)
+    assert [p() for _, p in warc.records(io.BytesIO(archive))] == [b"short", noise] * 3
+    assert gzip.decompress(archive).count(b"WARC/1.1") == 6  # a plain reader reads it too
+    plain = b"".join(gzip.compress(gzip.decompress(warc.record(k, "u", b"x" * 10_000, None))) for k in range(3))
+    assert len(list(warc.records(io.BytesIO(plain)))) == 3  # others' archives don't tell lengths
+
+
+def plain_kernel(a, b):
+    """Of two words, by every common subsequence's places: the sum over orders of DECAY to the gaps in both, normalised."""
+
+    def value(x, y):
+        total = 0.0
+        for n in range(toxicity.LEAST, toxicity.ORDER + 1):
+            for p in itertools.combinations(range(len(x)), n):
+                for q in itertools.combinations(range(len(y)), n):
+                    if all(x[i] == y[j] for i, j in zip(p, q, strict=True)):
+                        total += toxicity.DECAY ** ((p[-1] - p[0] + 1 - n) + (q[-1] - q[0] + 1 - n))
+        return total
+
+    return value(a, b) / (value(a, a) * value(b, b)) ** 0.5
+
+
+def test_kernel_against_all_subsequences():
+    landmarks = ["^gruk$", "^idiot$", "^aab$"]
+    kernel = toxicity.SubsequenceKernel(landmarks)
+    words = ["^gruk$", "^grxuk$", "^g1ruk$", "^idiot$", "^idiiot$", "^iddot$", "^aaab$", "^kurg$", "^aa$"]
+    got = kernel(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(landmarks):
+            if got[i, j]:
+                assert got[i, j] == pytest.approx(plain_kernel(w, m), abs=1e-4)
+            else:  # left out as unlike
+                assert plain_kernel(w, m) < 0.5
+    assert (got[[0, 1, 2], 0] > 0).all() and (got[[3, 4], 1] > 0).all()
+
+
+def test_held_out_labels_never_count(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        t = " ".join(r.choice(WORDS) for _ in range(30))
+        rows.append((k, t + (" " + r.choice(["grubface", "snotling"])) * bad, "en", "s"))
+        labels.append((k, int(bad)))
+    rows += [(None, None, None, None), (601, "", "en", "s"), (601, "grubface snotling", "en", "s"), (602, "w " * 50_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    other = [(i, 1 - t if held(i) else t) for i, t in labels]
+    made = []
+    for some in (labels, other):
+        model = toxicity.fit(docs, spark.createDataFrame([*some, (None, 1), (9999, 1), (5, None), (7, 3)], "doc_id long, toxic int"))
+        made.append(sorted(toxicity.scored(docs, model).collect(), key=str))
+    assert made[0] == made[1]
+    got = [x for x in made[0] if x.doc_id is not None and x.doc_id < 600]
+    assert len(made[0]) == len(rows) and all(x.held_out == held(x.doc_id) and x.predicted == (x.score >= 0.5) for x in made[0])
+    right = [x.predicted == int(x.doc_id % 3 == 0) for x in got if x.held_out]
+    assert len(right) > 80 and sum(right) / len(right) > 0.9
+    assert {x.predicted for x in made[0] if x.doc_id in (None, 602)} == {0}
 
 
 def test_toxicity_finds_hidden_insults():
@@ -331,6 +460,51 @@ def test_toxicity_finds_joined_insults():
     assert (score(pa.array([x.format("kanlor") for x in [*joined, run]])) < 0.5).all()
 
 
+def test_pipeline_against_plain_rules(spark, tmp_path):
+    r = random.Random(9)
+    words = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(500)) for _ in range(n))
+    item, base, copied = words(30), words(80), words(60)
+    near_base = " ".join([*base.split()[:-1], "other"])
+    rows = [(1, copied), (2, copied.replace(" ", "\n", 3)), (3, f"{words(20)} {item} {words(20)}"), (4, base), (5, near_base), (6, words(70)), (7, None), (8, ""), (9, "grubface " + words(30)), (10, words(30) + " snotling")]
+    rows += [(3, "a clean text under a contaminated one's id " + words(30)), (None, copied), (None, f"{item} at the start"), (None, words(25)), (6, rows[5][1]), (11, words(20_000))]
+    rows += [(100 + k, words(30) + (" " + r.choice(["grubface", "snotling"])) * (k % 2)) for k in range(200)]
+    sf = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1.5, "k", "d") for i, t in rows], SCHEMA)
+    docs.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(100 + k, k % 2) for k in range(200)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    bad = lambda t: "grubface" in t or "snotling" in t
+    kept = [(i, t or "") for i, t in rows if not bad(t or "")]
+    groups = {}
+    for i, t in kept:
+        groups.setdefault(re.sub(r"\s+", " ", t), []).append((i is None, i or 0, i, t))
+    kept = [min(g)[2:] for g in groups.values()]
+    classes = brute_near([(k, t) for k, (i, t) in enumerate(kept)], 5, 80)
+    of_id = {k: i for k, (i, _) in enumerate(kept)}
+    kept = [(i, t) for k, (i, t) in enumerate(kept) if i is None or i == min((of_id[j] for j in classes if classes[j][1] == classes[k][1] and of_id[j] is not None), default=i)]
+    kept = [(i, t) for i, t in kept if item not in t]
+    want = Counter((i, len(ids_of(t, 1))) for i, t in kept)
+    rows_in = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows_in, sf)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{sf}/{name}")
+        rows_in = spark.read.parquet(f"{sf}/{name}")
+    assert Counter((x.doc_id, len(ids_of(x.text, 1))) for x in rows_in.collect()) == want
+    tokens_of = Counter()
+    for p in corpus_pipeline.run(spark, sf).collect():
+        tokens_of[p.doc_id, p.doc_tokens] += p.length
+    assert tokens_of == Counter({(i, n): n * k for (i, n), k in want.items()})
+
+
+def test_pipeline_over_empty_tables(spark, empty, tmp_path):
+    sf = f"file://{tmp_path}"
+    empty.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     sf = f"file://{tmp_path}"
     spark.createDataFrame([(11, 1), (12, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
