@@ -8,48 +8,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, exact, near, packing, toxicity
-from factloom.llm.common import stored, table
+from factloom.llm.common import stored, table, without_rows
 
 #: SQL can't express the classifier, MinHash or packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is among ids. Rows without doc_id stay."""
-    return docs.join(ids.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted toxic. Null and empty texts stay if a text without words does."""
     return toxicity.clean_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for runs of white space, that with the smallest doc_id stays; of rows that repeat a doc_id and its text, one."""
-    groups = exact.exact_groups(docs)
-    key = lambda doc_id, digest: F.concat_ws("/", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), digest)
-    name = "row_key"
-    while name in docs.columns:
-        name += "_"
-    dropped = groups.where("NOT kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name)).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn(name, key(F.col("doc_id"), F.sha2(exact.normalised(text), 256)))
-    return rows.join(dropped, name, "left_anti").dropDuplicates([name]).select(docs.columns)
+    """Of documents that are equal but for runs of white space, one row of that with the smallest doc_id stays."""
+    return without_rows(docs, exact.dropped_rows(exact.exact_groups(docs)), once=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8), the document with the smallest doc_id stays."""
     groups = near.near_groups(docs, width=5, percent=80)
-    return without(docs, groups.where("NOT kept").select("doc_id"))
+    return without_rows(docs, groups.where("NOT kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id"))
+    return without_rows(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
