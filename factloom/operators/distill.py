@@ -226,5 +226,5 @@ def multiplier(operations: Column) -> Column:
 def rebalanced(rows: DataFrame, operations: str, seed: int = 42) -> DataFrame:
     """Rows as often as their multiplier says, in a seeded order (a hash of id and copy)."""
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), multiplier(F.col(operations)))))
-    return copies.withColumn("place", F.xxhash64("id", "copy", F.lit(seed)))
+    return copies.withColumn("place", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"), F.lit(str(seed)))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -648,27 +648,62 @@ def split(spark, sf):
     return distill.split(distill.completed(fx.pipeline(spark, sf)).select("id"), 50)
 
 
+# Texts whose words are made distinct by their places, with words changed at places that the document's class decides.
+_CHANGED = {"want": "CASE WHEN k = 0 THEN false ELSE i % 50 = 2 END", "got": "CASE k WHEN 0 THEN doc_id % 2 = 1 AND i % 50 = 3 WHEN 1 THEN i % 50 = 2 WHEN 2 THEN false WHEN 3 THEN i % 100 = 2 WHEN 4 THEN i % 100 = 2 OR i % 50 = 4 WHEN 5 THEN i % 50 = 4 ELSE i % 50 = 2 END"}
+_EDITS = f"""WITH ew AS (SELECT doc_id, doc_id % 7 AS k, {fx.sql_tokens("text")} AS w FROM documents),
+ec AS (SELECT doc_id, k, w, {", ".join(f"list_filter(range(0, len(w)), lambda i: {c}) AS {n}" for n, c in _CHANGED.items())} FROM ew),
+em AS (SELECT *, len(list_intersect(want, got)) AS tp, len(got) - len(list_intersect(want, got)) AS fp, len(want) - len(list_intersect(want, got)) AS fn, want = got AND (k <> 6 OR len(want) = 0) AS exact, len(want) = 0 AS unchanged FROM ec),
+ep AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE CAST(fn = 0 AS DOUBLE) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS recall FROM em),
+ed AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+ CASE WHEN unchanged AND exact THEN 'EXACT (no-change)' WHEN unchanged THEN 'HALLUCINATION' WHEN exact THEN 'EXACT' WHEN tp = 0 AND fp = 0 THEN 'MISSED ALL' WHEN tp > 0 AND fp = 0 THEN 'PARTIAL (conservative)' WHEN tp > 0 THEN 'PARTIAL (mixed)' ELSE 'OVER-EDITED' END AS category FROM ep)"""
+
+
 def _edits(spark, sf):
-    d = fx.documents(spark, sf).select("doc_id", "text", F.replace("text", F.lit(" the "), F.lit(" these ")).alias("reference"), F.regexp_replace("text", " (the|of) ", " $1s ").alias("prediction"))
+    d = fx.documents(spark, sf).select("doc_id", (F.col("doc_id") % 7).alias("k"), F.transform(tx.alnum_tokens(F.col("text")), lambda x, i: F.concat(x, F.lit("_"), i.cast("string"))).alias("w"))
+
+    def made(where: str, mark) -> Column:
+        return F.array_join(F.transform("w", lambda x, i: F.when(_at(where, i), F.concat(x, mark)).otherwise(x)), " ")
+
+    d = d.select("doc_id", "k", F.array_join("w", " ").alias("text"), made("want", F.lit("r")).alias("reference"), made("got", F.when(F.col("k") == 6, "q").otherwise("r")).alias("prediction"))
     return d.withColumn("m", distill.edit_metrics("text", "reference", "prediction"))
 
 
+def _at(which: str, i: Column) -> Column:
+    """_CHANGED as a Column."""
+    k, five, ten = F.col("k"), i % 50, i % 100
+    if which == "want":
+        return (k != 0) & (five == 2)
+    return F.when(k == 0, (F.col("doc_id") % 2 == 1) & (five == 3)).when(k.isin(1, 6), five == 2).when(k == 2, F.lit(False)).when(k == 3, ten == 2).when(k == 4, (ten == 2) | (five == 4)).otherwise(five == 4)
+
+
 def _edits_twice(spark, sf):
     """With the prediction put right in every second document, as post-processing would."""
     d = stored(_edits(spark, sf), "edits").withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
     return d.withColumnRenamed("m", "raw").withColumn("processed", distill.edit_metrics("text", "reference", "after"))
 
 
-@query()
+_MEAN = lambda c: f"round(avg({c}) FILTER (NOT unchanged), 6) AS {c}"
+
+
+@query(f"{_EDITS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (exact) AS BIGINT) AS exact, {_MEAN('precision')}, {_MEAN('recall')}, {_MEAN('f1')}, CAST(count(*) FILTER (unchanged) AS BIGINT) AS unchanged, CAST(count(*) FILTER (unchanged AND NOT exact) AS BIGINT) AS hallucinated FROM ed")
 def edit_agg(spark, sf):
-    return distill.edit_summary(_edits(spark, sf))
+    """All of the summary but the characters' similarity, which SQL can't compute."""
+    return distill.edit_summary(_edits(spark, sf)).select("n", "exact", *map(six, ("precision", "recall", "f1")), "unchanged", "hallucinated")
 
 
-@query()
+@query(f"""{_EDITS}, two AS (SELECT category, 0 AS after FROM ed UNION ALL SELECT CASE WHEN doc_id % 2 = 1 THEN category WHEN unchanged THEN 'EXACT (no-change)' ELSE 'EXACT' END, 1 FROM ed)
+SELECT category, CAST(count(*) FILTER (after = 0) AS BIGINT) AS n_raw, CAST(count(*) FILTER (after = 1) AS BIGINT) AS n_processed, CAST(count(*) FILTER (after = 1) - count(*) FILTER (after = 0) AS BIGINT) AS delta FROM two GROUP BY category""")
 def edit_hist(spark, sf):
     return distill.category_histogram(stored(_edits_twice(spark, sf), "edits-twice"))
 
 
+@query(f"""{_EDITS} SELECT doc_id, array_to_string(list_transform(want[1:8], lambda i: w[i + 1] || '_' || i || 'r -> ' || w[i + 1] || '_' || i || 'q'), ', ') AS differences FROM ed WHERE k = 6 AND len(want) > 0""")
+def edit_other_form(spark, sf):
+    """The diagnostics' first kind; the second goes by similarity."""
+    found = distill.edit_diagnostics(_edits(spark, sf), "reference", "prediction").where("kind = 'right words, other form'")
+    return found.select("doc_id", F.array_join("differences", ", ").alias("differences"))
+
+
 @query()
 def edit_delta(spark, sf):
     return distill.edit_delta(_edits_twice(spark, sf))
@@ -679,9 +714,12 @@ def edit_diag(spark, sf):
     return distill.edit_diagnostics(_edits(spark, sf), "reference", "prediction").select("doc_id", "kind", "differences")
 
 
-@query()
+@query(f"""{_EDITS}, v AS (SELECT avg(f1) FILTER (NOT unchanged) AS f1, count(*) FILTER (exact) / count(*) AS e, count(*) FILTER (unchanged AND NOT exact) / nullif(count(*) FILTER (unchanged), 0) AS h, avg(recall) FILTER (NOT unchanged) AS r FROM ed),
+t AS (SELECT unnest(['f1', 'exact_share', 'hallucinated_share', 'recall']) AS target, unnest([f1, e, h, r]) AS value, unnest([0.80, 0.50, 0.10, 0.75]) AS bound FROM v)
+SELECT target, round(value, 6) AS value, CASE WHEN target = 'hallucinated_share' THEN value <= bound ELSE value >= bound END AS met FROM t WHERE value IS NOT NULL""")
 def edit_verdict(spark, sf):
-    return distill.verdict(distill.edit_summary(_edits(spark, sf)))
+    """Without the target of similarity, which SQL can't compute."""
+    return distill.verdict(distill.edit_summary(_edits(spark, sf))).where("target <> 'similarity'").select("target", six("value"), "met")
 
 
 @query(f"""{_PIPE}, r AS (SELECT unnest([94 + length(original_text) + length(s1), 94 + length(s1) + length(s2), 94 + 43 + length(s3) + 10]) AS chars, unnest(['step1', 'step2', 'step4']) AS stage FROM pipeline WHERE k >= 4)
@@ -723,12 +761,15 @@ def title_lookup(spark, sf):
     return readers.titles(hits, fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title")))
 
 
-@query()
+@query(f"{_EDITS} SELECT doc_id, array_to_string(list_transform(list_filter(range(0, len(w)), lambda i: i % 4 <> 1), lambda i: w[i + 1] || '_' || i || CASE WHEN k <> 0 AND i % 50 = 2 THEN 'r' ELSE '' END), ' ') AS anchored FROM ec")
 def anchor(spark, sf):
-    return fx.documents(spark, sf).select("doc_id", distill.anchored("text", F.replace("text", F.lit(" the "), F.lit(" "))).alias("anchored"))
+    """Replies that leave out every fourth word of a text and change others, anchored to it."""
+    d = _edits(spark, sf).select("doc_id", "text", F.array_join(F.filter(F.split("reference", " "), lambda x, i: i % 4 != 1), " ").alias("reply"))
+    return d.select("doc_id", distill.anchored("text", "reply").alias("anchored"))
 
 
-@query()
+@query(f"""{_EDITS}, o AS (SELECT doc_id AS id, len(list_filter(got, lambda i: NOT list_contains(got, i - 1))) AS n FROM ec)
+SELECT id, CAST(n AS BIGINT) AS operations, c AS copy, md5(id || '-' || c || '-42') AS place FROM (SELECT id, n, unnest(range(1, CASE WHEN n BETWEEN 1 AND 3 THEN 3 ELSE 4 END)) AS c FROM o)""")
 def rebalance(spark, sf):
-    d = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text", F.replace("text", F.lit(" that "), F.lit(" this ")).alias("target"))
-    return distill.rebalanced(d.withColumn("operations", distill.edit_operations("text", "target")), "operations").select("id", "operations", "copy", "place")
+    d = _edits(spark, sf).select(F.col("doc_id").alias("id"), distill.edit_operations("text", "prediction").alias("operations"))
+    return distill.rebalanced(d, "operations").select("id", "operations", long("copy"), "place")
