@@ -38,7 +38,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.without_repeats(table(spark, sf_dir, "documents"), length=400)
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Removal of long repeated strings, by suffix arrays of the places that can hold repeats.
 
 A string of `length` bytes has an anchor (see anchors.py), so equal strings meet under the hash at their anchor. An anchor and the strings that
-have it are a segment of a text. Segments under a hash of their own hold no repeat. Segments with the same 128-bit keyed digest are one class; what
-a class of two or more covers is repeated. The distinct segments under a shared hash are cut into blocks on a grid that starts at the anchor, and a
+have it are a segment of a text. Segments under a hash of their own hold no repeat. Segments with the same 128-bit keyed digest are one class; it goes on
+as one segment, or as two where it has copies. The segments under a shared hash are cut into blocks on a grid that starts at the anchor, and a
 suffix array of the blocks (suffixes.py) gives which strings agree in their whole blocks; with the bytes before and after those,
-compared as they are, that says which strings occur again. So bytes are compared in suffix arrays, and digests of 128 bits where copies of whole segments, or
-the single strings of a group too large for one suffix array, are counted: of n strings, some pair of different ones has the same digest with a probability of n^2 / 2^129.
+compared as they are, that says which strings occur again. What a class's segment has of these holds for all its members. Only of groups too large for
+one suffix array are the strings, one by one at last, counted by digest. Of n strings, some pair of different ones has the same 128-bit digest with a probability of n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def _ranks(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def alike(rows: list[tuple], length: int) -> list[tuple]:
-    """Of the segments (class, anchor, key, shift, text) under some keys, those that can have a string in common with another of the same key.
+    """Of the segments (class, anchor, key, shift, text, copies) under some keys, those that can have a string in common with another of the same key or their own copies.
 
     Two equal strings have their anchor and, as they are longer than it, at least half of the rest on one of its sides in common.
     """
@@ -125,7 +125,8 @@ def alike(rows: list[tuple], length: int) -> list[tuple]:
         a, text = r[1], r[4]
         mine = [(r[2], 0, text[a - side : a])] * (a >= side) + [(r[2], 1, text[a + GRAM : a + GRAM + side])] * (a + GRAM + side <= len(text))
         sides.append(mine)
-        counts.update(mine)
+        for x in mine:
+            counts[x] += r[5]
     return [r for r, mine in zip(rows, sides, strict=True) if any(counts[x] > 1 for x in mine)]
 
 
@@ -170,7 +171,7 @@ def _segments(length: int):
             data, offsets = text_bytes(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 cut = [data[offsets[i] + w["first"] : offsets[i] + w["last"] + length].tobytes() for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([w["class"] for w in wanted], pa.binary()), pa.array([w["grid"] for w in wanted], pa.int32()), pa.array([w["hash"].to_bytes(8, "little", signed=True) for w in wanted], pa.binary()), pa.array([0] * len(wanted), pa.int32()), pa.array(cut, pa.binary())], SEGMENT_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([w["class"] for w in wanted], pa.binary()), pa.array([w["grid"] for w in wanted], pa.int32()), pa.array([w["hash"].to_bytes(8, "little", signed=True) for w in wanted], pa.binary()), pa.array([0] * len(wanted), pa.int32()), pa.array(cut, pa.binary()), pa.array([w["copies"] for w in wanted], pa.int32())], SEGMENT_NAMES)
 
     return run
 
@@ -181,16 +182,16 @@ def _split(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for class_, grid, key, shift, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for class_, grid, key, shift, s, copies in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 x, end = 0, len(s) - length + 1
                 while x < end:
                     near = (grid - x) // width * width  # the least of these distances
                     stop = min(end, grid - near + 1)
                     core = s[grid - near : grid - (near + width - 1) + length]
                     name = hashlib.blake2b(core, digest_size=16, salt=b"%d" % near, key=key).digest()
-                    out.append((class_, grid - x, name, shift + x, s[x : stop - 1 + length]))
+                    out.append((class_, grid - x, name, shift + x, s[x : stop - 1 + length], copies))
                     x = stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], SEGMENT_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32()), strict=True)], SEGMENT_NAMES)
 
     return run
 
@@ -202,14 +203,15 @@ def _solved(length: int):
         found, rows = [], alike(rows, length)
         if not rows:
             return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["class", "from", "to"])
-        for r, flags in zip(rows, repeated_windows([r[4] for r in rows], [r[1] for r in rows], length), strict=True):
+        twice = rows + [r for r in rows if r[5] > 1]
+        for r, flags in zip(rows, repeated_windows([r[4] for r in twice], [r[1] for r in twice], length), strict=False):
             found += [(r[0], r[3] + a, r[3] + b + length) for a, b in runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["class", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if len(held) >= BATCH and row[2] != held[-1][2]:
                     yield solve(held)
                     held = []
@@ -220,8 +222,8 @@ def _solved(length: int):
     return run
 
 
-SEGMENT_NAMES = ["class", "grid", "key", "shift", "segment"]
-SEGMENT_SCHEMA = "class binary, grid int, key binary, shift int, segment binary"
+SEGMENT_NAMES = ["class", "grid", "key", "shift", "segment", "copies"]
+SEGMENT_SCHEMA = "class binary, grid int, key binary, shift int, segment binary, copies int"
 
 
 def _spans(segments: DataFrame, length: int, most: int) -> DataFrame:
@@ -232,7 +234,7 @@ def _spans(segments: DataFrame, length: int, most: int) -> DataFrame:
     """
     out, parts = None, shuffle_partitions(segments.sparkSession)
     for width in (32, 1, None):
-        large = stored(segments.groupBy("key").count().where(F.col("count") > most).select("key"), "substring-large")
+        large = stored(segments.groupBy("key").agg(F.sum("copies").alias("n")).where(F.col("n") > most).select("key"), "substring-large")
         small = segments.join(large, "key", "left_anti")
         done = small.select(SEGMENT_NAMES).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(freed(_solved(length)), "class binary, from long, to long")
         out = done if out is None else out.unionByName(done)
@@ -240,7 +242,7 @@ def _spans(segments: DataFrame, length: int, most: int) -> DataFrame:
             break
         segments = stored(segments.join(large.hint("merge"), "key").select(SEGMENT_NAMES).mapInArrow(freed(_split(length, width)), SEGMENT_SCHEMA), "substring-split")
         if width == 1:
-            again = stored(segments.groupBy("key").count().where("count > 1").select("key"), "substring-again")
+            again = stored(segments.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key"), "substring-again")
             out = out.unionByName(segments.join(again.hint("merge"), "key").select("class", F.col("shift").cast("long").alias("from"), (F.col("shift") + F.lit(length)).cast("long").alias("to")))
             break
     return out
@@ -272,7 +274,8 @@ def without_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST) ->
 
     Strings are of UTF-8 bytes, within a text, and repeated if they start at another place of the same or any other text;
     they are judged on the input. A null text counts as empty; texts under `length` bytes are kept whole. Rows that repeat a doc_id are texts of
-    their own, so all that is long enough in two equal rows goes. An empty table gives no rows.
+    their own, so all that is long enough in two equal rows goes. A very long text is read in parts that overlap. Only doc_id and text are read, so
+    no column can clash. An empty table gives no rows.
     """
     if length < 64:
         raise ValueError("length is under 64 bytes")
@@ -281,16 +284,16 @@ def without_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST) ->
     # Under a hash: how many segments, and how many of them differ; counted from classes, so a hot hash is a row for each class and task.
     classes = rows.groupBy("hash", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sum", "first", "last", "grid")).alias("one"))
     classes = stored(classes, "substring-classes")
-    shared = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("hash")
-    mixed = stored(classes.join(stored(shared, "substring-shared").hint("merge"), "hash"), "substring-mixed")
-    wanted = mixed.select("one.doc", "one.sum", F.struct("class", "hash", "one.first", "one.last", "one.grid").alias("w")).groupBy("doc", "sum").agg(F.collect_list("w").alias("wanted"))
-    wanted = stored(wanted, "substring-wanted")
-    segments = stored(texts.select("doc", "sum", "text").join(wanted.hint("merge"), ["doc", "sum"]).select("text", "wanted").mapInArrow(freed(_segments(length)), SEGMENT_SCHEMA), "substring-segments")
-    found = stored(_spans(segments, length, most), "substring-spans")
-    single = found.join(mixed.where("n = 1").select("class", "one"), "class").select("one.doc", "one.sum", (F.col("one.first") + F.col("from")).alias("from"), (F.col("one.first") + F.col("to")).alias("to"))
-    several = stored(classes.where("n > 1").select("hash", "class"), "substring-several")
-    direct = rows.join(several.hint("merge"), ["hash", "class"]).select("doc", "sum", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    spans = single.unionByName(direct).groupBy("doc", "sum").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    shared = classes.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    shared = stored(classes.join(stored(shared, "substring-shared").hint("merge"), "hash"), "substring-several")
+    one = F.struct("class", "hash", "one.first", "one.last", "one.grid", F.least("n", F.lit(2)).cast("int").alias("copies"))
+    wanted = stored(shared.select("one.doc", "one.sum", one.alias("w")).groupBy("doc", "sum").agg(F.collect_list("w").alias("wanted")), "substring-wanted")
+    segments = stored(texts.select("doc", "sum", "text").join(wanted.hint("merge"), ["doc", "sum"]).dropDuplicates(["doc", "sum"]).select("text", "wanted").mapInArrow(freed(_segments(length)), SEGMENT_SCHEMA), "substring-segments")
+    found = _spans(segments, length, most).groupBy("class").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    found = stored(found, "substring-spans")
+    # What is found in a class's segment holds for all members of the class.
+    each = rows.join(found.hint("merge"), "class").select("doc", "sum", "first", F.explode("found").alias("f"))
+    spans = each.groupBy("doc", "sum").agg(F.collect_set(F.struct((F.col("first") + F.col("f.from")).alias("from"), (F.col("first") + F.col("f.to")).alias("to"))).alias("spans"))
     spans = stored(spans, "substring-removed")
     return texts.join(spans.hint("merge"), ["doc", "sum"], "left").select("doc_id", "text", "spans").mapInArrow(freed(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -303,5 +306,5 @@ g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
 j AS (SELECT k.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
-SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, removed IS NOT NULL AS repeated FROM d LEFT JOIN j USING (doc_id)
 """
