@@ -10,7 +10,7 @@ from factloom.functions import text as tx
 from factloom.functions.prompts import Prompts
 from factloom.functions.vocab import EXTRACTION_TYPES, TYPE_ALIASES, normalize_type, slot_kind
 from factloom.operators import chat, distill, extraction, metrics, patterns, retrieve, vectors
-from factloom.sources import readers
+from factloom.sources import readers, sinks
 from pyspark.sql import functions as F
 
 
@@ -248,3 +248,34 @@ def test_diagnostics_and_verdict(spark):
     assert met["recall"] and not met["hallucinated_share"]
     log = distill.reason_log(spark.createDataFrame([(f"r{k}", "empty" if k else "ok") for k in range(9)], "id string, reason string"))
     assert log.splitlines()[0] == "r1: empty" and log.splitlines()[-1] == "and 3 more" and len(log.splitlines()) == 6
+
+
+def test_files_go_out_and_come_back(spark, tmp_path):
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "a", "title": "T", "text": "one\\ntwo three"}\n{"_id": "b", "text": " "}\n{"_id": "c", "text": "x"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q", "text": "why"}\n{"_id": "r"}\n')
+    path = lambda name: str(tmp_path / name)
+    assert {tuple(r) for r in readers.read_corpus(spark, path("corpus.jsonl")).collect()} == {("a", "T\none\ntwo three"), ("c", "x")}
+    assert {r.id for r in readers.read_corpus(spark, path("corpus.jsonl"), most_words=2).collect()} == {"a__0", "a__1", "c"}
+    assert {tuple(r) for r in readers.read_queries(spark, path("queries.jsonl")).collect()} == {("q", "why"), ("r", "")}
+    vectors_ = spark.createDataFrame([("ns_32", "f", "t", [1.0])], "ns string, fingerprint string, text string, vec array<float>")
+    sinks.append_vectors(vectors_, path("cache"))
+    assert readers.cached_vectors(spark, path("cache"), "ns_32", "f").first().text == "t"
+    with pytest.raises(ValueError, match="fingerprint"):
+        readers.cached_vectors(spark, path("cache"), "ns_32", "g")
+    rows = spark.createDataFrame([("1", "o", "a", "b", "c", "d", True)], f"id string, original_text string, {', '.join(f'{s} string' for s in extraction.STAGES)}, is_eval boolean")
+    made = distill.samples(rows, {"step1": "one", "step2": "two", "step4": "six"}).join(rows.select("id", "is_eval"), "id")
+    sinks.write_samples(made, path("samples"))
+    back = readers.read_samples(spark, path("samples"))
+    assert {(r.stage, r.is_eval, r.conversations[2].content) for r in back.collect()} == {("step1", True, "a"), ("step2", True, "b"), ("step4", True, "d")}
+    sinks.write_prompts(spark, Prompts(), path("prompts"))
+    assert spark.read.json(path("prompts")).first().pronouns == Prompts().pronouns
+    runs_ = spark.createDataFrame([("s", "q", "d", 1.0)], "system string, qid string, doc_id string, score double")
+    sinks.write_runs(runs_, path("runs"))
+    assert tuple(spark.read.json(path("runs")).select("system", "qid", "doc_id", "score").first()) == ("s", "q", "d", 1.0)
+    sinks.write_summary(runs_.groupBy("system").count(), path("summary"))
+    assert spark.read.json(path("summary")).first()["count"] == 1
+    assert metrics.text_table(runs_.select("system", "score")).splitlines() == ["system  score", "s       1.0000"]
+    facts = spark.createDataFrame([(1, "d", "h", "v", "t", "FOOD", "DRUGS")], "fact_id long, doc_id string, head string, verb string, tail string, head_type string, tail_type string")
+    sinks.write_facts(facts, spark.createDataFrame([("h", [1.0])], "text string, vec array<float>"), path("graph"))
+    with pytest.raises(ValueError, match="cover"):
+        readers.read_facts(spark, path("graph"))
