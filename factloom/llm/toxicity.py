@@ -468,10 +468,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, most_bytes: int = 1 << 20, label_col: str = "toxic") -> Model:
     """Trains on at most most_labelled rows with a label that aren't held out: as many of label 1 as of the others if there are, chosen by a hash.
 
-    Labels other than 0 and 1, and rows without doc_id, are ignored; with several labels for a doc_id the largest counts.
+    Labels other than 0 and 1, and rows without doc_id, are ignored; with several labels for a doc_id the largest counts, with several
+    texts the smallest. Texts of over most_bytes aren't learned from (they are scored), so what comes to the driver is bounded. Only doc_id and text of docs are read, and
+    no other column of labels than doc_id and label_col.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -480,7 +482,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, label_
     clean = rows.where("label = 0").orderBy(*order).limit(most_labelled - most_labelled // 3)
     chosen = toxic.unionByName(clean).collect()  # at most most_labelled pairs of integers
     ids = docs.sparkSession.createDataFrame([tuple(x) for x in chosen], "doc_id long, label int")
-    found = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").collect()
+    found = id_and_text(docs).where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda x: (x.doc_id, x.text))
     return train([x.text for x in found], [x.label for x in found])
 
@@ -504,7 +506,7 @@ class Scorer:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. A null or empty text has the score of a text without words; an empty table gives no rows."""
+    """doc_id, held_out, score, predicted of every row. A null or empty text has the score of a text without words; a very long one is read whole; rows that repeat a doc_id are scored each. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
