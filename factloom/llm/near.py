@@ -6,9 +6,9 @@ banded; texts that agree in a band share a bucket. In a bucket, members are comp
 other; links are confirmed on the full sets.
 
 A star can miss a link between two members that aren't both linked with the hub. So buckets that still hold several components
-are gone through again. In small ones all pairs between components are compared. In larger ones, in each round another member is the hub,
-and a member of each other component, another one each time, is compared with it: as many comparisons as components. Rounds end when none has
-brought a link twice. They only leave fewer components: members of larger buckets that still hold several go through an exact join with
+are gone through again: in small ones all pairs between components are compared; in larger ones another member is the hub,
+and a member of each other component is compared with it: as many comparisons as components. That leaves fewer
+components. Members of larger buckets that still hold several go through an exact join with
 prefix, length and position filters (candidates()), so that no pair in a bucket that can reach the threshold is left unchecked.
 """
 
@@ -33,8 +33,6 @@ _ATTEMPTS = 128
 SLICE = 4 << 20
 #: Buckets of so many members at most have all pairs between components compared.
 SMALL = 24
-#: In larger ones hubs rotate, until so many rounds in a row bring no new link; an exact join follows.
-QUIET = 2
 
 
 def rows_for(percent: int, bands: int = BANDS, miss: float = MISS) -> int:
@@ -149,46 +147,37 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: in
     of_reps = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(freed(sets), "rep long, digest binary, hashes array<long>")
     hashes = stored(of_reps.join(reps, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "near-sets")
 
-    def confirm(pairs: DataFrame, number: int) -> DataFrame:
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """linked, for each of pairs(a, b)."""
         left, right = hashes.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)
         each = pairs.join(right, "b").join(left, "a").select("a", "b", linked.alias("linked"))
-        return stored(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), f"near-compared-{number}")
+        return stored(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), f"near-compared-{name}")
 
     star = members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    compared, number, quiet = confirm(star, 0), 0, 0
+    compared = confirm(star, "star")
     component = components(compared.where("linked").select("a", "b"))
-    while quiet < QUIET:
-        number += 1
-        placed = members.join(component, members["rep"] == component["node"], "left").select("band", "key", "members", "rep", F.coalesce("component", "rep").alias("component"))
-        # One member of each bucket and component stands for it; another one each round.
-        turn = F.xxhash64("rep", F.lit(number))
-        stand = placed.groupBy("band", "key", "members", "component").agg(F.min_by("rep", turn).alias("rep"))
-        stand = stored(stand, f"near-stand-{number}")
-        hubs = stand.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(-number))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        hubs = stored(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), f"near-hubs-{number}")
-        pair = [F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")]
-        met = stand.join(hubs, ["band", "key"]).where("component <> hub_component").select(*pair)
-        if number == 1:
-            few = placed.where(F.col("members") <= SMALL)
-            other = few.select("band", "key", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-            met = met.unionByName(few.join(hubs.select("band", "key"), ["band", "key"], "left_semi").join(other, ["band", "key"]).where("component < hub_component").select(*pair))
-        pairs = stored(met.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"), f"near-pairs-{number}")
-        new = confirm(pairs, number)
-        compared = compared.unionByName(new.select("a", "b", "linked"))
-        if new.where("linked").isEmpty():
-            quiet += 1
-        else:
-            quiet = 0
-            component = components(compared.where("linked").select("a", "b"))
+    placed = members.join(component, members["rep"] == component["node"], "left").select("band", "key", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    # One member of each bucket and component stands for it; another member than the star's is the hub.
+    stand = stored(placed.groupBy("band", "key", "members", "component").agg(F.min_by("rep", F.xxhash64("rep", F.lit(1))).alias("rep")), "near-stand")
+    hubs = stand.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("band", "key", "rep")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = stored(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "near-hubs")
+    pair = [F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")]
+    of_hubs = stand.join(hubs, ["band", "key"]).where("component <> hub_component").select(*pair)
+    few = placed.where(F.col("members") <= SMALL)
+    other = few.select("band", "key", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+    of_few = few.join(hubs.select("band", "key"), ["band", "key"], "left_semi").join(other, ["band", "key"]).where("component < hub_component").select(*pair)
+    new = confirm(of_hubs.unionByName(of_few).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"), "again")
+    compared = compared.unionByName(new)
+    if not new.where("linked").isEmpty():
+        component = components(compared.where("linked").select("a", "b"))
     placed = members.where(F.col("members") > SMALL).join(component, members["rep"] == component["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
     open_reps = stored(placed.join(mixed, ["band", "key"], "left_semi").select("rep", "component").distinct(), "near-open")
     if not open_reps.isEmpty():
         pairs = stored(open_pairs(hashes.join(open_reps, "rep"), percent).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-last")
-        new = confirm(pairs, number + 1)
+        new = confirm(pairs, "last")
         if not new.where("linked").isEmpty():
             component = components(compared.unionByName(new).where("linked").select("a", "b"))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
