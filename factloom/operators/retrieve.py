@@ -80,15 +80,20 @@ def requests_of(patterns: DataFrame, queries: DataFrame, config: RetrievalConfig
 NEEDS = {"none": [], "head": ["head_type"], "tail": ["tail_type"], "both": ["head_type", "tail_type"]}
 
 
-def slices_of(postings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """For each kind of need, how many facts have each vector: what nearest() scans instead of the facts."""
+def slices_of(postings: DataFrame, vectors: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each kind of need that some request has, how many facts have each vector: what nearest() scans instead of the facts.
+
+    The kinds are combinations of subspace and types, so there are few, whatever the number of requests.
+    """
+    keys = ["subspace", "need", "head_type", "tail_type"]
+    kinds = stored(requests.select(keys).distinct(), "kinds")
     finest = stored(postings.groupBy("subspace", "head_type", "tail_type", "vec_id").agg(F.count(F.lit(1)).alias("n")), "counts")
     out = None
     for need, keep in NEEDS.items():
         types = [(F.col(c) if c in keep else F.lit("")).alias(c) for c in NEEDS["both"]]
-        part = finest.select("subspace", F.lit(need).alias("need"), *types, "vec_id", "n").groupBy("subspace", "need", "head_type", "tail_type", "vec_id").agg(F.sum("n").alias("n"))
+        part = finest.select("subspace", F.lit(need).alias("need"), *types, "vec_id", "n").join(F.broadcast(kinds), keys, "left_semi").groupBy(*keys, "vec_id").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)
-    return out.join(vectors, "vec_id").select("subspace", "need", "head_type", "tail_type", "vec_id", "n", "vec")
+    return out.join(vectors, "vec_id").select(*keys, "vec_id", "n", "vec")
 
 
 def postings_of(facts: DataFrame, vec_id) -> DataFrame:
@@ -116,11 +121,12 @@ def scored_facts(facts: DataFrame, vectors: DataFrame, vec_id, patterns: DataFra
     Postings, slices and requests are computed once and kept in the shared folder.
     """
     postings = stored(postings_of(facts, vec_id), "postings")
-    slices = stored(slices_of(postings, vectors), "slices")
     requests = requests_of(patterns, queries, config)
     vector = vectors.select(F.col("vec_id").alias("text_vec"), "vec")
     requests = stored(requests.withColumn("text_vec", vec_id(F.col("text"))).join(vector, "text_vec"), "requests")
-    scans = top_rows(postings, slices, requests.where("role <> 'rescan'"))
+    scanned = requests.where("role <> 'rescan'")
+    slices = stored(slices_of(postings, vectors, scanned), "slices")
+    scans = top_rows(postings, slices, scanned)
     scans = scans.join(requests.select("request_id", "qid", "pattern_no", "role", "component"), "request_id").drop("request_id")
     base = scans.where("role IN ('base', 'pair')").select("qid", "pattern_no", "fact_id", "doc_id", "score")
     sides = scans.where("role = 'side'").groupBy("qid", "pattern_no", "fact_id", "doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
