@@ -475,7 +475,7 @@ def win_loss_tie(spark, sf):
     return r.select("n_queries", six("mean_a"), six("mean_b"), six("diff"), "wins", "losses", "ties")
 
 
-_PAIRS = [("bm25 - dense", "bm25", "dense", "ndcg_10"), ("dense - bm25, ap", "dense", "bm25", "ap"), ("soft_kg - bm25", "soft_kg", "bm25", "ndcg_10")]
+_PAIRS = [("bm25 - dense", "bm25", "dense", "ndcg_10"), ("dense - bm25, ap", "dense", "bm25", "ap"), ("search - bm25", "search", "bm25", "ndcg_10")]
 
 
 def _comparisons(spark, sf):
