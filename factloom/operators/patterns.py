@@ -10,14 +10,20 @@ from factloom.functions.text import spaced, strip
 from factloom.functions.vocab import slot_kind
 
 
+# What replies may have before a pattern, how a pattern is wrapped, and what parts its slots.
+BEFORE = r"^[\s\-*•\d.)`\"']+"
+WRAPPER, WRAPPED = r"(?i)MEM\s*\(", r"(?is)MEM\s*\((.*?)(?:\)|$)"
+BETWEEN = r"\s*[\^|]\s*"
+
+
 def parsed_line(line: Column) -> Column:
     """struct(head, relation, tail, hk, rk, tk, shape) of a line; null if it is no pattern.
 
     Lists' numbers and bullets before it are passed over; a body ends at the first closing parenthesis; ^ and | separate slots.
     """
-    plain = F.regexp_replace(strip(line), r"^[\s\-*•\d.)`\"']+", "")
-    body = F.when(plain.rlike(r"(?i)MEM\s*\("), F.regexp_extract(plain, r"(?is)MEM\s*\((.*?)(?:\)|$)", 1)).otherwise(plain)
-    part = F.split(body, r"\s*[\^|]\s*")
+    plain = F.regexp_replace(strip(line), BEFORE, "")
+    body = F.when(plain.rlike(WRAPPER), F.regexp_extract(plain, WRAPPED, 1)).otherwise(plain)
+    part = F.split(body, BETWEEN)
     slot = lambda k: F.regexp_replace(F.regexp_replace(strip(F.get(part, k)), '^"+|"+$', ""), "^'+|'+$", "")
     head, relation, tail = slot(0), slot(1), strip(F.regexp_replace(slot(2), r"\)+$", ""))
     kinds = [slot_kind(x) for x in (head, relation, tail)]
