@@ -22,7 +22,7 @@ from factloom.llm.shingles import stretches, text_bytes
 
 SCHEMA = "doc_id long, item_id long, edits long, budget long, start long, length long, text_key long"
 #: Bytes of texts that are searched together (a longer text by itself), and pairs of equal q-grams that are counted at once.
-BLOCK, HITS = 1 << 20, 1 << 20
+BLOCK, HITS = 1 << 18, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 

@@ -97,7 +97,8 @@ def sequences(text: Column) -> list[Column]:
 def licences(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, licenses (names in order, comma-joined), n_licenses, sentence_ids (identifiers as they occur, comma-joined).
 
-    A null text counts as empty: no licence. Rows that repeat a doc_id are separate documents. An empty table gives no rows.
+    A null text counts as empty: no licence. A very long text is read whole, by its task. Rows that repeat a doc_id are separate documents. Only doc_id and
+    text are read, so no column can clash. An empty table gives no rows.
     """
     rows = id_and_text(docs)
     by_line, by_stop = sequences(F.col("text"))

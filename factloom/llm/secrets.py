@@ -79,7 +79,8 @@ def scan(docs: DataFrame, *, owner: Column | None = None, repository: Column | N
 
     owner and repository default to `source`, and `source` with `lang`. A value with at most most_owners owners and most_repositories
     repositories looks live. A null text counts as empty (no spans), null owners as one owner. Rows that repeat a doc_id are
-    separate documents. An empty table gives no rows.
+    separate documents. A very long text is read whole, in time proportional to its matches and length; spans that start at one place go by kind. Other columns of docs
+    are not read, so none can clash. An empty table gives no rows.
 
     Texts are read once; the small table of candidates is written to the shared folder. Counting first reduces to distinct (value, owner,
     repository), so a value that a third of all rows hold is a few rows before it is counted.

@@ -249,7 +249,8 @@ def crc_of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 500) -> None:
     """Encodes every whole text and writes the files; a null text counts as empty, null doc_ids come first.
 
-    Rows with the same doc_id stay separate rows, next to each other. An empty table gives a folder without
+    Rows with the same doc_id stay separate rows, next to each other, and are dealt apart by their texts if there are many. A very long text is encoded by
+    itself; texts go to a worker in batches, of which it holds one. Only doc_id and text are read, so no column can clash. An empty table gives a folder without
     rows. encoding: "dictionary" or "delta" (delta binary packed), of the ids.
     """
     if encoding not in ("dictionary", "delta"):

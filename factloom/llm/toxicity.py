@@ -490,7 +490,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 3000, most_b
 class Scorer:
     """Scores of columns of texts, whole; null counts as empty. most_known bounds the words whose margins it remembers, and changes no score."""
 
-    def __init__(self, model: Model, most_known: int = 150_000) -> None:
+    def __init__(self, model: Model, most_known: int = 100_000) -> None:
         self.model, self.known, self.most_known = model, {}, most_known
 
     def __call__(self, column: pa.Array) -> np.ndarray:
