@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.text import strip
+from factloom.functions import matching
+from factloom.functions.text import strip, words
 from factloom.operators.extraction import STAGES
 
 FIELDS = ["original_text", *STAGES]
@@ -85,40 +85,50 @@ def length_stats(sampled: DataFrame) -> DataFrame:
 @F.pandas_udf(T.LongType())
 def edit_operations(source: pd.Series, target: pd.Series) -> pd.Series:
     """Word runs that differ."""
-    return pd.Series([sum(o[0] != "equal" for o in difflib.SequenceMatcher(None, a.split(), b.split()).get_opcodes()) for a, b in zip(source, target, strict=True)])
+    return pd.Series([len(matching.changes(a.split(), b.split())) for a, b in zip(source, target, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def anchored(source: pd.Series, reply: pd.Series) -> pd.Series:
-    """The reply, with the source's own words where they agree, and nothing where the reply only deletes."""
-    out = []
-    for a, b in zip(source.map(str.split), reply.map(str.split), strict=True):
-        words = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
-            words += a[i1:i2] if tag == "equal" else b[j1:j2]
-        out.append(" ".join(words))
-    return pd.Series(out)
+def anchored(source: str, reply: str) -> Column:
+    """The reply, with the source's own words where they agree, and nothing where the reply only deletes.
+
+    Words agree only if they are equal, so whatever the alignment is, equal runs are the reply's words too, replaced and inserted ones are the reply's, and deleted ones are none:
+    the result is the reply's words, one space apart, and needs no alignment. Null if either text is.
+    """
+    return F.when(F.col(source).isNotNull(), F.array_join(words(F.col(reply)), " "))
 
 
-_AGREED = T.StructType([T.StructField("tp", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fn", T.LongType()), T.StructField("similarity", T.DoubleType())])
+_AGREED = T.StructType([T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")])
 
 
 @F.pandas_udf(_AGREED)
 def _agreement(source: pd.Series, reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
-    """Only what needs a matcher: on which of the source's words two rewrites agree, and how alike they are by characters."""
-    touched = lambda before, after: np.array([op[0] != "equal" for op in difflib.SequenceMatcher(None, before, after).get_opcodes() for _ in range(op[1], op[2])], dtype=bool)
-    counts, alike = np.zeros((3, len(source)), dtype=np.int64), np.zeros(len(source))
-    for k, (words, want, got) in enumerate(zip(source.str.split(), reference, prediction, strict=True)):
-        in_want, in_got = touched(words, want.split()), touched(words, got.split())
+    """On which of the source's words two rewrites agree."""
+
+    def touched(before: list[str], after: list[str]) -> np.ndarray:
+        out = np.ones(len(before), dtype=bool)
+        for i, _, n in matching.matching_blocks(before, after):
+            out[i : i + n] = False
+        return out
+
+    counts = np.zeros((3, len(source)), dtype=np.int64)
+    for k, (text, want, got) in enumerate(zip(source, reference, prediction, strict=True)):
+        before = text.split()
+        in_want = touched(before, want.split())
+        in_got = in_want if want == got else touched(before, got.split())
         counts[:, k] = (in_want & in_got).sum(), (in_got & ~in_want).sum(), (in_want & ~in_got).sum()
-        alike[k] = difflib.SequenceMatcher(None, want, got).ratio()
-    return pd.DataFrame({"tp": counts[0], "fp": counts[1], "fn": counts[2], "similarity": alike})
+    return pd.DataFrame({"tp": counts[0], "fp": counts[1], "fn": counts[2]})
 
 
-def edit_metrics(source: str, reference: str, prediction: str) -> Column:
+@F.pandas_udf(T.DoubleType())
+def _similarity(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+    """How alike two texts are by characters."""
+    return pd.Series([matching.ratio(a, b) for a, b in zip(reference, prediction, strict=True)])
+
+
+def edit_metrics(source: str, reference: str, prediction: str, alike: bool = True) -> Column:
     """struct(exact, similarity, tp, fp, fn, precision, recall, f1, unchanged, hallucinated): how a prediction's changed words of the source agree with the reference's.
 
-    Pure insertions change no word. Without changed words precision is 1 if none was to be changed, else 0; recall is 1 where none was to be changed.
+    Without alike, similarity isn't computed but null, for callers that don't read it. Pure insertions change no word. Without changed words precision is 1 if none was to be changed, else 0; recall is 1 where none was to be changed.
     """
     same = lambda a, b: strip(F.col(a)) == strip(F.col(b))
 
@@ -127,13 +137,14 @@ def edit_metrics(source: str, reference: str, prediction: str) -> Column:
         precision = F.when(found > 0, x["tp"] / found).otherwise((x["fn"] == 0).cast("double"))
         recall = F.when(wanted > 0, x["tp"] / wanted).otherwise(1.0)
         f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-        exact, unchanged = same(reference, prediction), same(source, reference)
-        return F.struct(
-            exact.alias("exact"), x["similarity"].alias("similarity"), *[x[c].alias(c) for c in ("tp", "fp", "fn")], precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
-            unchanged.alias("unchanged"), (unchanged & ~exact).alias("hallucinated"),
-        )
+        return F.struct(*[x[c].alias(c) for c in ("tp", "fp", "fn")], precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
-    return F.get(F.transform(F.array(_agreement(source, reference, prediction)), of), F.lit(0))
+    x = F.get(F.transform(F.array(_agreement(source, reference, prediction)), of), F.lit(0))
+    exact, unchanged = same(reference, prediction), same(source, reference)
+    return F.struct(
+        exact.alias("exact"), (_similarity(reference, prediction) if alike else F.lit(None).cast("double")).alias("similarity"), *[x[c].alias(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1")],
+        unchanged.alias("unchanged"), (unchanged & ~exact).alias("hallucinated"),
+    )
 
 
 def edit_delta(rows: DataFrame, before: str = "raw", after: str = "processed") -> DataFrame:
@@ -152,9 +163,7 @@ def word_changes(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     """Runs of words in which two texts differ, as `from -> to`."""
     out = []
     for a, b in zip(reference.str.split(), prediction.str.split(), strict=True):
-        blocks = [(0, 0, 0), *difflib.SequenceMatcher(None, a, b).get_matching_blocks()]
-        gaps = [(x[0] + x[2], y[0], x[1] + x[2], y[1]) for x, y in zip(blocks[:-1], blocks[1:], strict=True)]
-        out.append([f"{' '.join(a[i:j])} -> {' '.join(b[k:m])}" for i, j, k, m in gaps if i < j or k < m])
+        out.append([f"{' '.join(a[i:j])} -> {' '.join(b[k:m])}" for i, j, k, m in matching.changes(a, b)])
     return pd.Series(out)
 
 
@@ -162,7 +171,8 @@ def edit_diagnostics(rows: DataFrame, reference: str, prediction: str, metrics:
     """Rows to look at, with a kind and the first differences: right words in another form (f1 of .999 and more, but not exact), and outliers (similarity under .80)."""
     m = F.col(metrics)
     kind = F.when((m["f1"] >= 0.999) & ~m["exact"], "right words, other form").when(m["similarity"] < 0.80, "outlier")
-    found = rows.withColumn("kind", kind).where("kind IS NOT NULL")
+    # A filter would be moved below the metrics and have them computed twice; rows without a kind explode into nothing.
+    found = rows.select("*", F.explode(F.array_compact(F.array(kind))).alias("kind"))
     return found.withColumn("differences", F.slice(word_changes(reference, prediction), 1, most))
 
 
