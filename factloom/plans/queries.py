@@ -684,7 +684,7 @@ def _at(which: str, i: Column) -> Column:
 
 def _edits_twice(spark, sf):
     """With the prediction put right in every second document, as post-processing would."""
-    d = stored(_edits(spark, sf), "edits").withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
+    d = _edits(spark, sf).withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
     return d.withColumnRenamed("m", "raw").withColumn("processed", distill.edit_metrics("text", "reference", "after"))
 
 
