@@ -664,14 +664,14 @@ ed AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
  CASE WHEN unchanged AND exact THEN 'EXACT (no-change)' WHEN unchanged THEN 'HALLUCINATION' WHEN exact THEN 'EXACT' WHEN tp = 0 AND fp = 0 THEN 'MISSED ALL' WHEN tp > 0 AND fp = 0 THEN 'PARTIAL (conservative)' WHEN tp > 0 THEN 'PARTIAL (mixed)' ELSE 'OVER-EDITED' END AS category FROM ep)"""
 
 
-def _edits(spark, sf):
+def _edits(spark, sf, alike=True):
     d = fx.documents(spark, sf).select("doc_id", (F.col("doc_id") % 7).alias("k"), F.transform(tx.alnum_tokens(F.col("text")), lambda x, i: F.concat(x, F.lit("_"), i.cast("string"))).alias("w"))
 
     def made(where: str, mark) -> Column:
         return F.array_join(F.transform("w", lambda x, i: F.when(_at(where, i), F.concat(x, mark)).otherwise(x)), " ")
 
     d = d.select("doc_id", "k", F.array_join("w", " ").alias("text"), made("want", F.lit("r")).alias("reference"), made("got", F.when(F.col("k") == 6, "q").otherwise("r")).alias("prediction"))
-    return d.withColumn("m", distill.edit_metrics("text", "reference", "prediction"))
+    return d.withColumn("m", distill.edit_metrics("text", "reference", "prediction", alike))
 
 
 def _at(which: str, i: Column) -> Column:
@@ -694,7 +694,7 @@ _MEAN = lambda c: f"round(avg({c}) FILTER (NOT unchanged), 6) AS {c}"  # noqa: E
 @query(f"{_EDITS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (exact) AS BIGINT) AS exact, {_MEAN('precision')}, {_MEAN('recall')}, {_MEAN('f1')}, CAST(count(*) FILTER (unchanged) AS BIGINT) AS unchanged, CAST(count(*) FILTER (unchanged AND NOT exact) AS BIGINT) AS hallucinated FROM ed")
 def edit_agg(spark, sf):
     """All of the summary but the characters' similarity, which SQL can't compute."""
-    return distill.edit_summary(_edits(spark, sf)).select("n", "exact", *map(six, ("precision", "recall", "f1")), "unchanged", "hallucinated")
+    return distill.edit_summary(_edits(spark, sf, alike=False)).select("n", "exact", *map(six, ("precision", "recall", "f1")), "unchanged", "hallucinated")
 
 
 @query(f"""{_EDITS}, two AS (SELECT category, 0 AS after FROM ed UNION ALL SELECT CASE WHEN doc_id % 2 = 1 THEN category WHEN unchanged THEN 'EXACT (no-change)' ELSE 'EXACT' END, 1 FROM ed)
