@@ -725,7 +725,7 @@ t AS (SELECT unnest(['f1', 'exact_share', 'hallucinated_share', 'recall']) AS ta
 SELECT target, round(value, 6) AS value, CASE WHEN target = 'hallucinated_share' THEN value <= bound ELSE value >= bound END AS met FROM t WHERE value IS NOT NULL""")
 def edit_verdict(spark, sf):
     """Without the target of similarity, which SQL can't compute."""
-    return distill.verdict(distill.edit_summary(_edits(spark, sf))).where("target <> 'similarity'").select("target", six("value"), "met")
+    return distill.verdict(distill.edit_summary(_edits(spark, sf, alike=False))).where("target <> 'similarity'").select("target", six("value"), "met")
 
 
 @query(f"""{_PIPE}, r AS (SELECT unnest([94 + length(original_text) + length(s1), 94 + length(s1) + length(s2), 94 + 43 + length(s3) + 10]) AS chars, unnest(['step1', 'step2', 'step4']) AS stage FROM pipeline WHERE k >= 4)
