@@ -682,10 +682,10 @@ def _at(which: str, i: Column) -> Column:
     return F.when(k == 0, (F.col("doc_id") % 2 == 1) & (five == 3)).when(k.isin(1, 6), five == 2).when(k == 2, F.lit(False)).when(k == 3, ten == 2).when(k == 4, (ten == 2) | (five == 4)).otherwise(five == 4)
 
 
-def _edits_twice(spark, sf):
+def _edits_twice(spark, sf, alike=True):
     """With the prediction put right in every second document, as post-processing would."""
-    d = _edits(spark, sf).withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
-    return d.withColumnRenamed("m", "raw").withColumn("processed", distill.edit_metrics("text", "reference", "after"))
+    d = _edits(spark, sf, alike).withColumn("after", F.when(F.col("doc_id") % 2 == 0, F.col("reference")).otherwise(F.col("prediction")))
+    return d.withColumnRenamed("m", "raw").withColumn("processed", distill.edit_metrics("text", "reference", "after", alike))
 
 
 _MEAN = lambda c: f"round(avg({c}) FILTER (NOT unchanged), 6) AS {c}"
@@ -700,7 +700,7 @@ def edit_agg(spark, sf):
 @query(f"""{_EDITS}, two AS (SELECT category, 0 AS after FROM ed UNION ALL SELECT CASE WHEN doc_id % 2 = 1 THEN category WHEN unchanged THEN 'EXACT (no-change)' ELSE 'EXACT' END, 1 FROM ed)
 SELECT category, CAST(count(*) FILTER (after = 0) AS BIGINT) AS n_raw, CAST(count(*) FILTER (after = 1) AS BIGINT) AS n_processed, CAST(count(*) FILTER (after = 1) - count(*) FILTER (after = 0) AS BIGINT) AS delta FROM two GROUP BY category""")
 def edit_hist(spark, sf):
-    return distill.category_histogram(stored(_edits_twice(spark, sf), "edits-twice"))
+    return distill.category_histogram(_edits_twice(spark, sf, alike=False))
 
 
 @query(f"""{_EDITS} SELECT doc_id, array_to_string(list_transform(want[1:8], lambda i: w[i + 1] || '_' || i || 'r -> ' || w[i + 1] || '_' || i || 'q'), ', ') AS differences FROM ed WHERE k = 6 AND len(want) > 0""")
