@@ -706,7 +706,7 @@ def edit_hist(spark, sf):
 @query(f"""{_EDITS} SELECT doc_id, array_to_string(list_transform(want[1:8], lambda i: w[i + 1] || '_' || i || 'r -> ' || w[i + 1] || '_' || i || 'q'), ', ') AS differences FROM ed WHERE k = 6 AND len(want) > 0""")
 def edit_other_form(spark, sf):
     """The diagnostics' first kind; the second goes by similarity."""
-    found = distill.edit_diagnostics(_edits(spark, sf), "reference", "prediction").where("kind = 'right words, other form'")
+    found = distill.edit_diagnostics(_edits(spark, sf, alike=False), "reference", "prediction").where("kind = 'right words, other form'")
     return found.select("doc_id", F.array_join("differences", ", ").alias("differences"))
 
 
