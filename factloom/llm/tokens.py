@@ -13,15 +13,20 @@ footer. A filter on doc_id reads only the pages that can hold it; lengths and of
 from __future__ import annotations
 
 import json
+import os
+import re
+import shutil
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import freed, id_and_text, shared_dir, shuffle_partitions
+from factloom.llm.common import Batches, freed, id_and_text, shared_dir, shuffle_partitions
 from factloom.llm.shingles import mix, stretches, text_bytes
 
 #: Bytes of texts that are encoded at once (a longer text by itself), and pieces that are looked up at once.
@@ -223,8 +228,6 @@ _ENCODERS: dict[tuple[str, int | None], CachedEncoder] = {}
 
 def encoder(path: str, end_id: int | None) -> CachedEncoder:
     """This worker's encoder; what it has learned serves its later tasks."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = CachedEncoder(path, end_id)
@@ -246,12 +249,18 @@ def crc_of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(offsets).astype(np.int64), crc
 
 
+FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_ids long, ids array<int>"
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 500) -> None:
     """Encodes every whole text and writes the files; a null text counts as empty, null doc_ids come first.
 
     Rows with the same doc_id stay separate rows, next to each other, and are dealt apart by their texts if there are many. A very long text is encoded by
     itself; texts go to a worker in batches, of which it holds one. Only doc_id and text are read, so no column can clash. An empty table gives a folder without
-    rows. encoding: "dictionary" or "delta" (delta binary packed), of the ids.
+    rows, and a path that exists an error. encoding: "dictionary" or "delta" (delta binary packed), of the ids.
+
+    Under file: the tasks write the files themselves. Hadoop's local file system would start a process for each file there, which counts as another one of the
+    JVM's size until it runs its own program, and the JVM would hold the ids too. Elsewhere Spark's writer does the same job.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is {encoding!r}, neither 'dictionary' nor 'delta'")
@@ -270,8 +279,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
     spark = docs.sparkSession
     rows = id_and_text(docs).withColumn("sum", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "sum").sortWithinPartitions("doc_id", "sum").drop("sum")
+    if local := re.fullmatch("file:(?://)?(/.*)", path):
+        _write_locally(rows, run, local[1], encoding, row_group_bytes, page_rows)
+        return
     (
-        rows.mapInArrow(freed(run), "shard int, doc_id long, shard_start long, n_ids long, ids array<int>")
+        rows.mapInArrow(freed(run), FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
@@ -282,9 +294,47 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     )
 
 
+def _write_locally(rows: DataFrame, run: Batches, root: str, encoding: str, row_group_bytes: int, page_rows: int) -> None:
+    """run's batches, each task's in a file of its own; files are moved in place when all tasks have ended, only those of the attempts that counted."""
+    open_folder = f"{root}/_temporary"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        c, out, group, size = TaskContext.get(), None, [], 0
+        name = f"part-{c.partitionId():05d}-{c.taskAttemptId()}-{uuid.uuid4().hex[:8]}.parquet"
+        plain = ["shard", "doc_id", "shard_start", "n_ids"]
+        kinds = {"use_dictionary": [*plain, "ids.list.element"]} if encoding == "dictionary" else {"use_dictionary": plain, "column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED"}}
+        for batch in run(batches):
+            if out is None:
+                os.makedirs(open_folder, exist_ok=True)
+                out = pq.ParquetWriter(f"{open_folder}/{name}", batch.schema, compression="zstd", data_page_version="2.0", write_page_index=True, max_rows_per_page=page_rows, **kinds)
+            ends = 4 * np.append(0, np.cumsum(batch.column("n_ids").to_numpy()))
+            for i, j in stretches(ends, row_group_bytes):
+                if group and size + ends[j] - ends[i] > row_group_bytes:
+                    out.write_table(pa.Table.from_batches(group))
+                    group, size = [], 0
+                group.append(batch.slice(i, j - i))
+                size += int(ends[j] - ends[i])
+        if out is not None:
+            out.write_table(pa.Table.from_batches(group))
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    os.makedirs(root)
+    try:
+        # One row for each task that wrote.
+        for r in rows.mapInArrow(freed(write), "file string").collect():
+            os.replace(f"{open_folder}/{r.file}", f"{root}/{r.file}")
+    except BaseException:
+        shutil.rmtree(root, ignore_errors=True)
+        raise
+    shutil.rmtree(open_folder, ignore_errors=True)
+
+
 def read_token_files(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_ids, ids. Unused columns aren't read."""
-    files = spark.read.schema("shard int, doc_id long, shard_start long, n_ids long, ids array<int>").parquet(path)
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
     # One row for each task that wrote: small, whatever the number of documents.
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
     before, at = [], 0

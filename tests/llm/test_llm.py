@@ -113,6 +113,35 @@ def test_token_files(spark, tmp_path, encoding):
     assert "EqualTo(doc_id,7)" in plan and "ids:array" not in plan  # the filter reaches the files, ids aren't read
 
 
+def test_token_files_under_file_are_the_tasks_own(spark, tmp_path):
+    rows = [(i % 40, " ".join(R.choice(WORDS) for _ in range(R.randint(0, 80)))) for i in range(400)] + [(None, None), (None, "x" * 300_000), (50, "y z " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((i, tuple(ids_of(t, 2))) for i, t in rows)
+    starts = []
+    for name, path in (("own", f"file://{tmp_path}/own"), ("spark", f"{tmp_path}/spark")):  # a path without scheme may be any file system's
+        tokens.write_token_files(df, PATH, 2, path, row_group_bytes=20_000, page_rows=10)
+        files = sorted(p.name for p in (tmp_path / name).iterdir() if p.suffix == ".parquet")
+        assert files and {"arrow" in pq.ParquetFile(tmp_path / name / f).metadata.created_by for f in files} == {name == "own"}
+        got = tokens.read_token_files(spark, path).collect()
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+        starts.append(sorted((r.start, r.n_ids, r.doc_id or -1) for r in got))
+        with pytest.raises(Exception, match="(?i)exists"):
+            tokens.write_token_files(df, PATH, 2, path)
+    assert starts[0] == starts[1]
+    # Nothing of Hadoop's local file system, which starts a process for each file; and what a lost attempt leaves isn't read.
+    assert not [p for p in (tmp_path / "own").iterdir() if p.suffix != ".parquet"]
+    (tmp_path / "own" / "_temporary").mkdir()
+    (tmp_path / "own" / "_temporary" / files[0]).write_bytes((tmp_path / "spark" / files[0]).read_bytes())
+    assert tokens.read_token_files(spark, f"file://{tmp_path}/own").count() == len(rows)
+
+
+def test_a_failed_write_of_token_files_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="no such vocabulary|No such file"):
+        tokens.write_token_files(df, "/no such vocabulary", 2, f"file://{tmp_path}/t")
+    assert not (tmp_path / "t").exists()
+
+
 def test_irregular_spaces():
     enc = tokens.CachedEncoder(PATH, 2)
     odd = ["", "  a  b", "a\n b", " a", "a ", "x<|endoftext|> y", "é, ê. ß!", "a  b  c", "½. ²!", "don't. it's,", "日本、語。 a."]
