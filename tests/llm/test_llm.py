@@ -121,7 +121,10 @@ def test_token_files_under_file_are_the_tasks_own(spark, tmp_path):
     for name, path in (("own", f"file://{tmp_path}/own"), ("spark", f"{tmp_path}/spark")):  # a path without scheme may be any file system's
         tokens.write_token_files(df, PATH, 2, path, row_group_bytes=20_000, page_rows=10)
         files = sorted(p.name for p in (tmp_path / name).iterdir() if p.suffix == ".parquet")
-        assert files and {"arrow" in pq.ParquetFile(tmp_path / name / f).metadata.created_by for f in files} == {name == "own"}
+        metas = [pq.ParquetFile(tmp_path / name / f).metadata for f in files]
+        assert files and {"arrow" in m.created_by for m in metas} == {name == "own"}
+        ids = [m.row_group(g).column(4) for m in metas for g in range(m.num_row_groups)]
+        assert (name == "spark" or len(ids) > len(files)) and all(c.path_in_schema == "ids.list.element" and "RLE_DICTIONARY" in c.encodings and c.has_offset_index and c.has_column_index for c in ids)
         got = tokens.read_token_files(spark, path).collect()
         assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
         starts.append(sorted((r.start, r.n_ids, r.doc_id or -1) for r in got))
