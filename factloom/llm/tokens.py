@@ -249,6 +249,12 @@ def crc_of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(offsets).astype(np.int64), crc
 
 
+def local_path(path: str) -> str | None:
+    """Where a path under file: is; None for other ones, and for those without scheme, which may be any file system's."""
+    found = re.fullmatch("file:(?://)?(/.*)", path)
+    return found[1] if found else None
+
+
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_ids long, ids array<int>"
 
 
@@ -279,8 +285,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
     spark = docs.sparkSession
     rows = id_and_text(docs).withColumn("sum", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "sum").sortWithinPartitions("doc_id", "sum").drop("sum")
-    if local := re.fullmatch("file:(?://)?(/.*)", path):
-        _write_locally(rows, run, local[1], encoding, row_group_bytes, page_rows)
+    if root := local_path(path):
+        _write_locally(rows, run, root, encoding, row_group_bytes, page_rows)
         return
     (
         rows.mapInArrow(freed(run), FILE_SCHEMA)
@@ -332,32 +338,60 @@ def _write_locally(rows: DataFrame, run: Batches, root: str, encoding: str, row_
     shutil.rmtree(open_folder, ignore_errors=True)
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_ids, ids. Unused columns aren't read."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One row for each task that wrote: small, whatever the number of documents.
-    sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+def _before(files: DataFrame) -> list[tuple[int, int]]:
+    """(shard, ids in the shards before it). One row for each task that wrote: small, whatever the number of documents."""
     before, at = [], 0
-    for shard, n in sorted(sums):
+    for shard, n in sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):
         before.append((shard, at))
         at += n
-    starts = spark.createDataFrame(before, "shard int, shard_before long")
+    return before
+
+
+def read_token_files(spark, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_ids, ids. Unused columns aren't read."""
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    starts = spark.createDataFrame(_before(files), "shard int, shard_before long")
     return files.join(F.broadcast(starts), "shard").select("doc_id", (F.col("shard_start") + F.col("shard_before")).alias("start"), "n_ids", "ids")
 
 
+DIGEST_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _digests(doc_id: pa.Array, start: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+    n, crc = crc_of_lists(ids)
+    return pa.RecordBatch.from_arrays([doc_id, start, pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def token_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what read_token_files gives, counted from the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, crc = crc_of_lists(batch.column("ids"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield _digests(batch.column("doc_id"), batch.column("start"), batch.column("ids"))
+
+    return files.select("doc_id", "start", "ids").mapInArrow(freed(run), DIGEST_SCHEMA)
+
+
+def file_digests(spark, path: str, *, together: int = 1000) -> DataFrame:
+    """token_digests of the files at path. Under file: the tasks read them themselves, a file each and `together` documents at a time, so the JVM doesn't hold ids; elsewhere Spark's reader does."""
+    if not (root := local_path(path)):
+        return token_digests(read_token_files(spark, path))
+    names = sorted(x for x in os.listdir(root) if x.endswith(".parquet") and x[0] not in "._")
+    before = dict(_before(spark.read.schema(FILE_SCHEMA).parquet(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                with pq.ParquetFile(f"{root}/{names[k]}") as file:
+                    for rows in file.iter_batches(together, columns=["shard", "doc_id", "shard_start", "ids"]):
+                        shards = np.fromiter((before[x] for x in rows.column("shard").to_pylist()), dtype=np.int64, count=rows.num_rows)
+                        yield _digests(rows.column("doc_id"), pa.array(rows.column("shard_start").to_numpy() + shards), rows.column("ids"))
 
-    return files.select("doc_id", "start", "ids").mapInArrow(freed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(names), 1, max(1, len(names))).mapInArrow(freed(run), DIGEST_SCHEMA)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Writes the token files in the shared folder, and gives the digests of what is read back."""
     path = shared_dir(docs.sparkSession, "tokens")
     write_token_files(docs, tokenizer_path, end_id, path)
-    return token_digests(read_token_files(docs.sparkSession, path))
+    return file_digests(docs.sparkSession, path)

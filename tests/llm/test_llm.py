@@ -128,6 +128,8 @@ def test_token_files_under_file_are_the_tasks_own(spark, tmp_path):
         got = tokens.read_token_files(spark, path).collect()
         assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
         starts.append(sorted((r.start, r.n_ids, r.doc_id or -1) for r in got))
+        digests = sorted((r.start, r.n_tokens, r.doc_id or -1, r.ids_crc32) for r in tokens.file_digests(spark, path, together=7).collect())
+        assert digests == sorted((r.start, r.n_ids, r.doc_id or -1, crc(r.ids)) for r in got)
         with pytest.raises(Exception, match="(?i)exists"):
             tokens.write_token_files(df, PATH, 2, path)
     assert starts[0] == starts[1]
