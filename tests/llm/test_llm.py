@@ -309,6 +309,27 @@ def test_planted_passages_go_from_400_bytes_on(spark):
     assert not any(got[len(texts) + i] for i in range(len(alone)))
 
 
+@pytest.mark.parametrize("length", [64, 300])
+def test_substrings_of_other_lengths(docs, length):
+    """What passages of over 50 words and under 400 bytes would need: a smaller length gives what a plain count gives."""
+    passage = " ".join(f"{k:02d}abc"[: 4 + k % 2] for k in range(55))
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 5000]
+    rows += [(1000 + k, f"{k} {k * k} {passage} {k} {k + 7}".encode()) for k in range(3)]
+    seen = Counter(b[k : k + length] for _, b in rows for k in range(len(b) - length + 1))
+    want = []
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        want.append((-1 if i is None else i, sum(gone), len(re.findall(b"\1+", bytes(gone)))))
+    df = docs.sparkSession.createDataFrame([(i, b.decode()) for i, b in rows], "doc_id long, text string")
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_removed, r.n_spans) for r in substrings.without_repeats(df, length=length).collect()]
+    assert sorted(got) == sorted(want)
+    assert 300 <= len(passage) < 400 and all(n >= len(passage) for i, n, _ in got if i >= 1000)
+    assert not any(r.n_removed for r in substrings.without_repeats(df, length=400).where("doc_id >= 1000").collect())
+
+
 def test_secrets(docs):
     rules = [
         ("assign", re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 6),
